@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,10 +31,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tracewell/{name}-{uuid.uuid4().hex}"
     _FOLDERS.setdefault(_OWNER[0], []).append(path)
-    df.write.parquet(path)
+    with no_shuffle_left(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def no_shuffle_left(spark: SparkSession):
+    """Shuffle files of what is written in this block go as soon as it is written, as nothing reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder for files that an operator writes itself."""
     path = f"{scratch_root(spark)}/tracewell/{name}-{uuid.uuid4().hex}"
