@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, near_dedup, packing, quality, repeats, token_store
+from . import chat, inner_product, mixing, near_dedup, packing, quality, repeats, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.STATS, "base_failed", "rule", "kept")
 
 
+def op5_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inner_product.top_products(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), numerator=85, denominator=100)
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_source_mix": op2_source_mix,
     "op4_quality_rules": op4_quality_rules,
+    "op5_top_products": op5_top_products,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_packing": op7_packing,
     "op9_token_store": op9_token_store,
