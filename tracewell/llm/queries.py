@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, inner_product, mixing, near_dedup, packing, quality, repeats, token_store
+from . import chat, inner_product, licences, mixing, near_dedup, packing, quality, repeats, token_counts, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.with_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer("piece_bpe_32k.model")).select("doc_id", "n_words", "n_tokens")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judged(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", *quality.STATS, "base_failed", "rule", "kept")
@@ -50,6 +54,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.with_licences(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    families = F.array_sort(F.array_distinct(F.col("notices.family")))
+    return found.select("doc_id", F.size("notices").cast("long").alias("n_notices"), F.concat_ws(",", families).alias("families"), F.expr("cast(size(filter(notices, n -> n.confirmed)) as long)").alias("n_confirmed"), F.array_max("notices.probability").alias("best_probability"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = token_store.write(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
     return token_store.read(store).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -62,10 +72,12 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_source_mix": op2_source_mix,
+    "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op4_quality_rules,
     "op5_top_products": op5_top_products,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_packing": op7_packing,
+    "op8_licence_scan": op8_licence_scan,
     "op9_token_store": op9_token_store,
     "op10_repeated_passages": op10_repeated_passages,
 }
