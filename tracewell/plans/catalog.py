@@ -413,7 +413,7 @@ def jobs_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.listing(_jobs(spark, sf_dir), 50, "error").select("id", "status")
 
 
-@_query("""SELECT user_id AS slug, arg_min(event_type, ts) AS owner, arg_max(event_type, ts) AS repo_url, max(ts) AS ingested_at FROM events GROUP BY 1""")
+@_query("""SELECT user_id AS slug, coalesce(arg_min(event_type, ts) FILTER (event_id % 2 = 0), arg_min(event_type, ts)) AS owner, arg_max(event_type, ts) AS repo_url, max(ts) AS ingested_at FROM events GROUP BY 1""")
 def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("slug"), F.col("event_type").alias("owner"), F.col("event_type").alias("repo_name"), F.col("ts").alias("repo_created_at"), F.col("event_type").alias("repo_url"), F.lit(0).alias("signature"), F.col("ts").alias("ingested_at"), "event_id")
     old, new = e.where("event_id % 2 = 0").drop("event_id"), e.where("event_id % 2 = 1").drop("event_id")
