@@ -1,3 +1,45 @@
-"""DuckDB statements of the queries that SQL can express over whole tables."""
+"""DuckDB statements of the queries that SQL can express over whole tables.
 
-ORACLE: dict[str, str] = {}
+The others have none: token counts (3), packing (7) and the token store (9) need a tokenizer, quality rules (4) and licence scans
+(8) a learned model, and repeated passages (10) a row for each of a text's bytes, which is too slow on whole tables.
+"""
+
+_WORD = r"[^\x20\x09-\x0D]+"
+_ESC = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;'), '|', '&vert;')"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE: dict[str, str] = {
+    "op1_chat_format": f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f AS (SELECT *, '<|' || {_ESC.format("role")} || '|>' || CASE WHEN role = 'user' THEN '[INST]' ELSE '' END || chr(10) || {_ESC.format("text")} || CASE WHEN role = 'user' THEN '[/INST]' ELSE '' END || '</s>' || chr(10) AS shown FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(shown))::BIGINT AS formatted_chars FROM f GROUP BY conv_id""",
+    "op2_source_mix": f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size, (('0x' || substr(md5('11|' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1 AS w FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY source_size / w, source NULLS LAST) AS n FROM w),
+r AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS lft, (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS lw FROM o),
+c AS (SELECT *, 3 * source_size * lw <= lft * w AS capped FROM r),
+f AS (SELECT lft AS fl, lw AS fw FROM c WHERE NOT capped ORDER BY n LIMIT 1),
+g AS (SELECT source, source_size, (CASE WHEN capped OR fl IS NULL THEN 3 * source_size ELSE fl * w / fw END)::DOUBLE AS target FROM c LEFT JOIN f ON true),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12::DOUBLE)::INT ELSE 0 END AS sure FROM g),
+x AS (SELECT d.*, p.source_size, p.target, p.sure, CASE WHEN p.source_size > 0 THEN greatest(p.target / p.source_size - p.sure, 0.0::DOUBLE) ELSE 0 END AS pi, p.target - p.sure * p.source_size AS want FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+y AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY CASE WHEN pi > 0 THEN (u / (1 - u)) / (pi / (1 - pi)) END, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM x),
+z AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE sure + CASE WHEN pi > 0 AND abs(upto - want) < abs(upto - size - want) THEN 1 ELSE 0 END END AS copies FROM y)
+SELECT doc_id, size::BIGINT AS size, source_size, target, copies::INT AS copies, (copies * size)::BIGINT AS taken FROM z""",
+    "op5_top_products": """
+WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 20""",
+    "op6_near_duplicates": f"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS g FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+i AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id)
+SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(c) AS component_id, r.doc_id = min(c) AS kept FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id""",
+}
