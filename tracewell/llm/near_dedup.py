@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,17 +16,22 @@ from pyspark.sql import types as T
 from .components import components
 from .shared import grams, is_empty, mixed, runs, stored, word_hashes
 
-#: Registers: so many bands of so many buckets. Links of 0.85 meet in a band but for about one in 10**9.
-BANDS, PER_BAND = 48, 6
-BUCKETS = BANDS * PER_BAND
-#: Bits of a register kept after the leading one; the leading zeros have six more.
-MANTISSA = 10
-EMPTY = 0xFFFF
+#: Buckets in a band. Long texts get so many bands that links miss each other in all of them less than once in 10**8.
+PER_BAND, MISS = 6, 1e-8
+#: Short texts get fewer, so that a band holds some shingles of theirs and a passage in common isn't enough to meet: sizes from
+#: one bound to the next make a class with as many bands as a link may have differing shingles, and some more.
+BOUNDS = (1, 12, 18, 27, 40, 60, 90, 135, 200, 300)
+#: Bits of a register kept after the leading one; the leading zeros have six more. A short text fills one register of a band,
+#: which must then tell texts apart alone, so there are more than estimates need.
+MANTISSA = 42
+EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 SHINGLE = 5
 #: Shingles that one task compares at once, and documents.
-BLOCK_SHINGLES, BLOCK_DOCS = 3_000_000, 4_096
+BLOCK_SHINGLES, BLOCK_DOCS = 3_000_000, 16_384
+#: Groups that bands connect are divided by rare shingles first if they have more shingles or documents.
+FAMILY_SHINGLES, FAMILY_DOCS = 300_000, 512
 #: Only sets of at least so many shingles are judged by the estimate, and it must be this far below.
-ESTIMATE_FROM, ESTIMATE_SLACK = 300, 0.2
+ESTIMATE_FROM, ESTIMATE_SLACK, SKETCH_BANDS = 300, 0.2, 40
 BATCH_BYTES = 1 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,16 +55,26 @@ def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def registers(hashes: np.ndarray) -> np.ndarray:
-    """HyperMinHash registers (16 bits each) of a sorted set of 64-bit hashes.
+def classes(t: float) -> list[int]:
+    """Bands of each size class for links of similarity t."""
+    most = int(np.ceil(np.log(MISS) / np.log(1 - t**PER_BAND)))
+    return [min(most, max(8, int(np.ceil(1.15 * upper * (1 - t) / t)) + 1)) for upper in (*BOUNDS[1:], 1 << 40)]
+
+
+def size_class(n: int) -> int:
+    return bisect_right(BOUNDS, n) - 1
+
+
+def registers(hashes: np.ndarray, bands: int) -> np.ndarray:
+    """HyperMinHash registers of a sorted set of 64-bit hashes.
 
     The hash's high part deals it to a bucket; of the smallest rest in a bucket, the register has the number of leading
     zeros and the bits after the leading one.
     """
-    out = np.full(BUCKETS, EMPTY, np.uint16)
+    out = np.full(bands * PER_BAND, EMPTY, np.uint64)
     if not len(hashes):
         return out
-    high = (hashes >> np.uint64(32)) * np.uint64(BUCKETS)
+    high = (hashes >> np.uint64(32)) * np.uint64(bands * PER_BAND)
     bucket = (high >> np.uint64(32)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     # within a bucket hashes ascend, and so does the rest: position inside the bucket, in 56 bits
@@ -68,7 +84,7 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     top = np.where(rest >> top.astype(np.uint64) == 0, top - 1, top)  # a float may round up to the next power of two
     shift = np.maximum(top - MANTISSA, 0).astype(np.uint64)
     mantissa = (rest >> shift) & np.uint64((1 << MANTISSA) - 1)
-    out[bucket[first]] = ((np.minimum(55 - top, 62).astype(np.uint64) << np.uint64(MANTISSA)) | mantissa).astype(np.uint16)
+    out[bucket[first]] = (np.minimum(55 - top, 62).astype(np.uint64) << np.uint64(MANTISSA)) | mantissa
     return out
 
 
@@ -84,44 +100,41 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip((same - chance) / (1 - chance), 0, 1)
 
 
-_SKETCH = "n_shingles long, s1 long, s2 long, registers binary"
+def band_keys(hashes: np.ndarray, t: float) -> np.ndarray:
+    """64-bit keys of the bands that have a filled bucket, in the set's size class and in any class above that a link may be in."""
+    n, out = len(hashes), [np.zeros(0, np.int64)]
+    per_class = classes(t)
+    for c in range(size_class(n), size_class(int(n / t)) + 1) if n else ():
+        bands = registers(hashes, per_class[c]).reshape(-1, PER_BAND)
+        key = mixed(np.arange(1, len(bands) + 1, dtype=np.uint64) + np.uint64(c << 32))
+        for i in range(PER_BAND):
+            key = mixed(key * _GOLD + bands[:, i])
+        out.append(key[(bands != EMPTY).any(axis=1)].view(np.int64))
+    return np.concatenate(out)
+
+
+_SKETCH = "n_shingles long, s1 long, s2 long, bands array<long>"
 
 
-def sketched(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """The columns `keep`, the number of shingles, a 128-bit digest of the set and its registers; no shuffle."""
+def sketched(docs: DataFrame, text: str, keep: list[str], t: float) -> DataFrame:
+    """The columns `keep`, the number of shingles, a 128-bit digest of the set and the keys of its bands; no shuffle."""
     schema = T.StructType([docs.schema[c] for c in keep] + T._parse_datatype_string(_SKETCH).fields)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in runs(batches, text, BATCH_BYTES):
-            n, digest, regs = [], [], []
+            n, digest, keys = [], [], []
             for h in shingle_sets(texts):
                 n.append(len(h))
                 digest.append(xxhash.xxh3_128_digest(h.tobytes()))
-                regs.append(registers(h).tobytes())
+                keys.append(band_keys(h, t))
             two = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), pa.array(n, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(regs, pa.binary())], schema.names)
+            at = pa.array(np.r_[0, np.cumsum([len(k) for k in keys])], pa.int32())
+            lists = pa.ListArray.from_arrays(at, pa.array(np.concatenate(keys)))
+            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), pa.array(n, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), lists], schema.names)
 
     return docs.select(*keep, text).mapInArrow(compute, schema)
 
 
-def _bands(sets: DataFrame) -> DataFrame:
-    """A row for each band of a sketch that has a filled bucket: (node, band, key)."""
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 2_000):
-                part = batch.slice(start, 2_000)
-                regs = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, BANDS, PER_BAND)
-                row, band = np.nonzero((regs != EMPTY).any(axis=2))
-                key = np.zeros(len(row), np.uint64)
-                for i in range(PER_BAND):
-                    key = mixed(key * _GOLD + regs[row, band, i].astype(np.uint64) + np.uint64(1))
-                node = part.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(node[row]), pa.array((key + mixed(band.astype(np.uint64))).view(np.int64))], ["node", "key"])
-
-    return sets.select("node", "registers").mapInArrow(compute, "node long, key long")
-
-
 class _Union:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -202,7 +215,7 @@ def _confirm(numerator: int, denominator: int):
         bodies, sets = [t.encode() for t in group["body"]], []
         for i in range(0, len(bodies), 64):
             sets += shingle_sets(bodies[i : i + 64])
-        regs = np.array([registers(s) for s in sets])
+        regs = np.array([registers(s, SKETCH_BANDS) for s in sets])
         node = group["node"].to_numpy()
         root = linked(sets, regs, group["side"].to_numpy(), numerator, denominator)
         return pd.DataFrame({"u": node, "v": node[root]}).query("u != v")
@@ -222,10 +235,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     bands connect are confirmed together on full sets, in blocks of a bounded size.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body"))
-    rows = stored(sketched(base, "body", ["doc_id"]), "sketches")
+    rows = stored(sketched(base, "body", ["doc_id"], numerator / denominator), "sketches")
     sets = rows.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
-    first = rows.join(sets, (rows.doc_id == sets.node) & (rows.s1 == sets.s1) & (rows.s2 == sets.s2), "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "registers")
-    bands = _bands(first)
+    first = rows.join(sets, (rows.doc_id == sets.node) & (rows.s1 == sets.s1) & (rows.s2 == sets.s2), "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "bands")
+    bands = first.select("node", F.explode("bands").alias("key"))
     heads = bands.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("key", "head")
     edges = bands.join(heads, "key").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
     near = components(edges)
@@ -237,19 +250,55 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _links(base: DataFrame, first: DataFrame, near: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """(node, component) of confirmed links among the sets that bands connect."""
-    # blocks by size, so that blocks too far apart in size needn't meet; a group that fits one block is compared in one task
+def _families(near: DataFrame, first: DataFrame, most_shingles: int, most_docs: int) -> tuple[DataFrame, DataFrame]:
+    """Groups that edges connect, as (node, family, n), and those of them above the bounds, as (family)."""
     sized = stored(near.join(first.groupBy("node").agg(F.max("n_shingles").alias("n")), "node").select("node", F.col("component").alias("family"), "n"), "families")
     total = sized.groupBy("family").agg(F.sum("n").alias("all_n"), F.count("*").alias("docs"))
-    big = total.where((F.col("all_n") > BLOCK_SHINGLES) | (F.col("docs") > BLOCK_DOCS)).select("family")
-    small = sized.join(big, "family", "left_anti").select("node", "family", F.lit("").alias("block"), F.lit(0).alias("side"))
-    tasks = small
+    return sized, total.where((F.col("all_n") > most_shingles) | (F.col("docs") > most_docs)).select("family")
+
+
+def _sharing(base: DataFrame, hot: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Edges that keep together all that may link in large families, which passages in common have joined.
+
+    Sets that link share one of their first size - ceil(t * size) + 1 shingles in the order of rarity within these families, so
+    each set is tied to the smallest id that has such a shingle in the same place. A shingle that one set alone has ties nobody.
+    """
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in runs(batches, "body", BATCH_BYTES):
+            sets = shingle_sets(texts)
+            size = [len(h) for h in sets]
+            node = np.repeat(part.column(0).to_numpy(), size)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.repeat(size, size), pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["node", "n", "x"])
+
+    texts = base.join(hot.select("node").hint("merge"), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "body")
+    all_ = stored(texts.mapInArrow(shingles, "node long, n long, x long"), "shingles")
+    counted = all_.groupBy("x").agg(F.count("*").alias("c"), F.min("node").alias("m"))
+    alone = counted.where("c = 1").groupBy(F.col("m").alias("node")).agg(F.count("*").alias("own"))
+    # what a set has alone comes first in its order; if that is enough, it can link with nobody
+    first = f"n - cast(ceil({numerator} * n / {denominator} - 1e-9) as long) + 1 - coalesce(own, 0)"
+    open_ = hot.select("node", "n").join(alone, "node", "left").withColumn("k", F.expr(f"cast({first} as int)")).where("k > 0").select("node", "k")
+    shared = all_.join(open_, "node").join(counted.where("c >= 2").select("x", "c"), "x")
+    ranked = shared.groupBy("node", "k").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("s"))
+    prefix = ranked.select("node", F.explode(F.expr("slice(s.x, 1, k)")).alias("x"))
+    prefix = stored(prefix, "prefixes")
+    heads = prefix.groupBy("x").agg(F.min("node").alias("head"))
+    return prefix.join(heads, "x").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+
+
+def _links(base: DataFrame, first: DataFrame, near: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """(node, component) of confirmed links among the sets that bands connect."""
+    sized, big = _families(near, first, FAMILY_SHINGLES, FAMILY_DOCS)
+    tasks = sized.join(big, "family", "left_anti").select("node", F.col("family").cast("string").alias("family"), F.lit("").alias("block"), F.lit(0).alias("side"))
     if not is_empty(big):
-        hot = stored(_blocks(sized.join(big, "family", "left_semi"), numerator, denominator), "blocks")
-        tasks = small.unionByName(hot)
-    texts = base.join(tasks.select(F.col("node").alias("_n")).distinct(), F.col("doc_id") == F.col("_n"), "left_semi")
-    work = texts.join(tasks, F.col("doc_id") == F.col("node")).select("node", "family", "block", "side", "body")
+        hot = sized.join(big, "family", "left_semi")
+        again, large = _families(components(_sharing(base, hot, numerator, denominator)), first, BLOCK_SHINGLES, BLOCK_DOCS)
+        tasks = tasks.unionByName(again.join(large, "family", "left_anti").select("node", F.concat(F.lit("s"), "family").alias("family"), F.lit("").alias("block"), F.lit(0).alias("side")))
+        if not is_empty(large):
+            blocks = _blocks(again.join(large, "family", "left_semi"), numerator, denominator)
+            tasks = tasks.unionByName(stored(blocks, "blocks").withColumn("family", F.concat(F.lit("s"), "family")))
+    # texts are shuffled once, at any size: the ids of candidates grow with the input
+    work = base.join(tasks.hint("merge"), F.col("doc_id") == F.col("node")).select("node", "family", "block", "side", "body")
     pairs = work.groupBy("family", "block").applyInPandas(_confirm(numerator, denominator), "u long, v long")
     return components(pairs)
 
