@@ -5,15 +5,22 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
 #: Pieces and ids that a worker remembers.
-MOST_PIECES, MOST_IDS = 400_000, 4_000_000
+MOST_PIECES, MOST_IDS = 800_000, 8_000_000
 _WHITE = "\t-\r \x85\xa0  -     　"
 _BYTE_PIECES = re.compile(rf" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
-_LETTER, _NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
-_WORD_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_WHITE}{_LETTER}{_NUMBER}]+")
+_SMALL, _NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_LETTER = _SMALL + "A-Z\xc0-\xd6\xd8-\xde"
+_SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+#: Pre-tokens of pieces that hold Latin-1 characters only.
+_PARTS = {
+    "word": re.compile(rf"{_SHORT}|[{_SMALL}]+|[{_NUMBER}]|[^{_WHITE}{_SMALL}{_NUMBER}]+"),
+    "byte": re.compile(rf"{_SHORT}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_WHITE}{_LETTER}{_NUMBER}]+|[{_WHITE}]+"),
+}
 _BEYOND_LATIN = re.compile("[^\x00-\xff]")
 _KNOWN: dict[str, Encoder] = {}
 
@@ -25,6 +32,42 @@ def encoder(path: str) -> Encoder:
     return _KNOWN[path]
 
 
+class Ids:
+    """Ids of many strings in one array, by string."""
+
+    def __init__(self) -> None:
+        self.code: dict = {}
+        self.flat = np.zeros(1 << 16, np.int32)
+        self.used = 0
+        self.at, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def forget(self, most: int, most_ids: int) -> None:
+        if len(self.code) > most or self.used > most_ids:
+            self.__init__()
+
+    def add(self, keys: list, flat: np.ndarray, size: np.ndarray) -> None:
+        first, total = len(self.code), len(flat)
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while first + len(keys) > len(self.at):
+            self.at, self.n = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.n, np.zeros_like(self.n)])
+        self.flat[self.used : self.used + total] = flat
+        self.n[first : first + len(keys)] = size
+        self.at[first : first + len(keys)] = self.used + np.cumsum(size) - size
+        self.used += total
+        self.code.update(zip(keys, range(first, first + len(keys)), strict=True))
+
+    def of(self, lists: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each list's strings in a row, all lists after each other, and their number by list."""
+        count = np.fromiter(map(len, lists), np.int64, len(lists))
+        code = np.fromiter(map(self.code.__getitem__, chain.from_iterable(lists)), np.int64, int(count.sum()))
+        size = self.n[code]
+        end = np.cumsum(size)
+        total = int(end[-1]) if len(end) else 0
+        ids = self.flat[np.repeat(self.at[code] - (end - size), size) + np.arange(total)]
+        return ids, np.diff(np.r_[0, end][np.r_[0, np.cumsum(count)]])
+
+
 class Encoder:
     """encode() gives the same ids as tokenizers' encode(text, add_special_tokens=False) with special strings as plain text.
 
@@ -51,89 +94,53 @@ class Encoder:
             ends = np.zeros(self.size, bool)
             ends[[i for t, i in model["vocab"].items() if t.endswith("</w>")]] = True
             self.ends = ends
-        special = [t["content"] for t in spec["added_tokens"] if t["special"]]
-        self.separator = special[-1] if special else None
-        if self.separator:
-            self.parting = Tokenizer.from_file(path)
-            self.separator_id = self.parting.token_to_id(self.separator)
-        self.parts: dict[str, np.ndarray] = {}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.code: dict = {}
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.used = 0
-        self.at, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _add(self, pieces: list, ids: list[np.ndarray]) -> None:
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        first, total = len(self.code), int(size.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while first + len(ids) > len(self.at):
-            self.at, self.n = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.n, np.zeros_like(self.n)])
-        if total:
-            self.flat[self.used : self.used + total] = np.concatenate(ids)
-        self.n[first : first + len(ids)] = size
-        self.at[first : first + len(ids)] = self.used + np.r_[0, np.cumsum(size)[:-1]]
-        self.used += total
-        self.code.update(zip(pieces, range(first, first + len(ids)), strict=True))
-
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _byte_pieces(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of pieces, many at a time between special tokens (which costs less than one call each)."""
-        out: list[np.ndarray] = []
-        for i in range(0, len(pieces), 200):
-            some = pieces[i : i + 200]
-            if self.separator and not any(self.separator[:2] in p for p in some):
-                ids = np.array(self.parting.encode_batch_fast([self.separator.join(some)], add_special_tokens=False)[0].ids, np.int32)
-                got = np.split(ids, np.flatnonzero(ids == self.separator_id))
-                got = [got[0], *(g[1:] for g in got[1:])]
-                if len(got) == len(some):
-                    out += got
-                    continue
-            out += self._whole(some)
-        return out
-
-    def _word_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of chunks without ASCII white space, put together from those of their pre-tokens."""
-        texts = [p.decode("utf-8") for p in pieces]
-        split = [None if _BEYOND_LATIN.search(t) else _WORD_PIECES.findall(t.lower()) for t in texts]
-        if len(self.parts) > MOST_PIECES:
-            self.parts.clear()
-        fresh = list({x for s in split if s for x in s}.difference(self.parts))
+        self.newline = -1
+        if self.kind == "byte":
+            ids = self.plain.encode("\n", add_special_tokens=False).ids
+            self.newline = ids[0] if len(ids) == 1 else -1
+        self.pieces, self.parts = Ids(), Ids()
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [np.array(e.ids, np.int32) for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.int32), *got]), np.array([len(g) for g in got], np.int64)
+
+    def _learn_parts(self, fresh: list[str]) -> None:
+        """Ids of pre-tokens, hundreds in one call: joined by line feeds, which are dropped (word) or have one id (byte)."""
         for i in range(0, len(fresh), 500):
             some = fresh[i : i + 500]
             ids = np.array(self.plain.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, np.int32)
-            got = np.split(ids, np.flatnonzero(self.ends[ids])[:-1] + 1) if len(ids) else []
-            if len(got) != len(some):
-                got = self._whole(some)
-            self.parts.update(zip(some, got, strict=True))
-        odd = iter(self._whole([t for t, s in zip(texts, split, strict=True) if s is None]) if None in split else [])
-        none = np.zeros(0, np.int32)
-        return [next(odd) if s is None else self.parts[s[0]] if len(s) == 1 else np.concatenate([self.parts[x] for x in s]) if s else none for s in split]
+            if self.kind == "word":
+                flat, size = ids, np.diff(np.r_[0, np.flatnonzero(self.ends[ids]) + 1])
+            else:
+                cut = np.flatnonzero(ids == self.newline)
+                flat, size = np.delete(ids, cut), np.diff(np.r_[-1, cut, len(ids)]) - 1
+            if len(size) != len(some) or not size.all():
+                flat, size = self._whole(some)
+            self.parts.add(some, flat, size)
+
+    def _piece_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, put together from those of their pre-tokens. Pieces with characters beyond Latin-1 are encoded as they are."""
+        find, lower = _PARTS[self.kind].findall, self.kind == "word"
+        split = [["\0" + t] if _BEYOND_LATIN.search(t) or "\0" in t else [t] if t.isspace() else find(t.lower() if lower else t) for t in pieces]
+        self.parts.forget(MOST_PIECES, MOST_IDS)
+        fresh = list({x for s in split for x in s}.difference(self.parts.code))
+        odd = [x for x in fresh if x[0] == "\0"]
+        white = [x for x in fresh if x.isspace()]
+        self._learn_parts([x for x in fresh if x[0] != "\0" and not x.isspace()])
+        for some, texts in ((odd, [x[1:] for x in odd]), (white, white)):
+            if some:
+                self.parts.add(some, *self._whole(texts))
+        return self.parts.of(split)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and each text's number of ids."""
         if not texts:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         if self.kind == "whole":
-            got = self._whole([t.decode("utf-8") for t in texts])
-            return np.concatenate(got), np.array([len(g) for g in got], np.int64)
-        if len(self.code) > MOST_PIECES or self.used > MOST_IDS:
-            self._forget()
+            return self._whole([t.decode("utf-8") for t in texts])
+        self.pieces.forget(MOST_PIECES, MOST_IDS)
         split = [_BYTE_PIECES.findall(t.decode("utf-8")) for t in texts] if self.kind == "byte" else [t.split() for t in texts]
-        count = np.array([len(s) for s in split], np.int64)
-        flat = [p for s in split for p in s]
-        fresh = list(set(flat).difference(self.code))
+        fresh = list({p for s in split for p in s}.difference(self.pieces.code))
         if fresh:
-            self._add(fresh, self._byte_pieces(fresh) if self.kind == "byte" else self._word_pieces(fresh))
-        code = np.fromiter(map(self.code.__getitem__, flat), np.int64, len(flat))
-        size = self.n[code]
-        end = np.cumsum(size)
-        total = int(end[-1]) if len(end) else 0
-        ids = self.flat[np.repeat(self.at[code] - (end - size), size) + np.arange(total)]
-        place = np.r_[0, end][np.r_[0, np.cumsum(count)]]
-        return ids, np.diff(place)
+            self.pieces.add(fresh, *self._piece_ids(fresh if self.kind == "byte" else [p.decode("utf-8") for p in fresh]))
+        return self.pieces.of(split)
