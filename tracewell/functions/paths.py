@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 # Languages by suffix.
 LANGUAGES = {
     ".py": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "typescript",
@@ -38,16 +40,19 @@ def language(path: Column) -> Column:
 
 def exclusion(path: Column) -> Column:
     """The first reason that holds: vendor, lockfile, generated, test, non_code; empty if the file stays."""
-    p = F.regexp_replace(path, r"\\", "/")
-    folders = F.split(F.lower(p), "/")
-    return (
-        F.when(F.arrays_overlap(folders, F.array(*map(F.lit, VENDOR_FOLDERS))), "vendor")
-        .when(F.lower(_name(p)).isin(*LOCK_FILES), "lockfile")
-        .when(p.rlike(GENERATED), "generated")
-        .when(F.arrays_overlap(folders, F.array(*map(F.lit, TEST_FOLDERS))) | p.rlike(TESTS) | p.rlike(TESTS_BY_CASE), "test")
-        .when(language(p) == "unknown", "non_code")
-        .otherwise("")
-    )
+
+    def reason(p: Column) -> Column:
+        folders = F.split(F.lower(p), "/")
+        return (
+            F.when(F.arrays_overlap(folders, F.array(*map(F.lit, VENDOR_FOLDERS))), "vendor")
+            .when(F.lower(_name(p)).isin(*LOCK_FILES), "lockfile")
+            .when(p.rlike(GENERATED), "generated")
+            .when(F.arrays_overlap(folders, F.array(*map(F.lit, TEST_FOLDERS))) | p.rlike(TESTS) | p.rlike(TESTS_BY_CASE), "test")
+            .when(language(p) == "unknown", "non_code")
+            .otherwise("")
+        )
+
+    return bound(F.regexp_replace(path, r"\\", "/"), reason)
 
 
 _REPO = r"^(?:https?://|git@)([^/:]+)[/:]([^/]+)/(.+?)(?:\.git)?/?$"

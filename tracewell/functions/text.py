@@ -36,10 +36,18 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"^\s+|\s+$", "")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used inside lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def lines(text: Column) -> Column:
     """Lines of a text: at line feeds (with or without a carriage return), without an empty last one."""
-    parts = F.split(text, r"\r?\n", -1)
-    return F.when(text == "", F.array().cast("array<string>")).when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+    def made(parts: Column) -> Column:
+        return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+    return bound(F.split(text, r"\r?\n", -1), made)
 
 
 def count_loc(text: Column) -> Column:
@@ -52,11 +60,6 @@ def word_tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z_][A-Za-z0-9_]*)"), 1), lambda x: F.lower(x))
 
 
-def bound(value: Column, use) -> Column:
-    """use(value), with the value computed once however often it is used inside lambdas."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def ngrams(tokens: Column, n: int) -> Column:
     """Distinct n-grams, joined by spaces; a shorter list is one gram, an empty one has none."""
 

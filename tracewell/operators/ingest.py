@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pycode
 from ..functions.paths import MAX_BYTES, exclusion, language, module_name
-from ..functions.text import count_loc, round4, safe_div
+from ..functions.text import bound, count_loc, round4, safe_div
 
 TOP_K, MAX_FILES = 40, 5000
 READMES = ("README.md", "README.rst", "README.txt", "README", "readme.md")
@@ -21,11 +21,12 @@ def classified(contents: DataFrame) -> DataFrame:
     inside = contents.where(~F.array_contains(F.split("path", "/"), ".git"))
     order = Window.partitionBy("repo_id").orderBy("path")
     rows = inside.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= MAX_FILES).drop("_n")
-    why = exclusion(F.col("path"))
-    rows = rows.withColumn("_why", F.when(why != "", why).when(F.col("length") > MAX_BYTES, "too_large").otherwise(""))
-    text = F.when(F.col("_why") == "", F.try_validate_utf8(F.col("content").cast("string")))
-    rows = rows.withColumn("text", text).withColumn("exclude_reason", F.when((F.col("_why") == "") & F.col("text").isNull(), "binary").otherwise(F.col("_why")))
-    return rows.select("repo_id", "path", language(F.col("path")).alias("language"), "exclude_reason", (F.col("exclude_reason") != "").alias("excluded"), "text", F.when(F.col("text").isNull(), 0).otherwise(count_loc(F.col("text"))).cast("long").alias("loc"))
+    size = F.when(F.col("length") > MAX_BYTES, "too_large").otherwise("")
+    rows = rows.withColumn("_why", bound(exclusion(F.col("path")), lambda w: F.when(w != "", w).otherwise(size)))
+    # what was read: the reason, the text where there is none, and its lines of code
+    read = bound(F.struct(F.col("_why").alias("w"), F.when(F.col("_why") == "", F.try_validate_utf8(F.col("content").cast("string"))).alias("t")), lambda r: F.struct(F.when((r["w"] == "") & r["t"].isNull(), "binary").otherwise(r["w"]).alias("why"), r["t"].alias("text"), F.when(r["t"].isNull(), 0).otherwise(count_loc(r["t"])).cast("long").alias("loc")))
+    rows = rows.select("repo_id", "path", language(F.col("path")).alias("language"), read.alias("r"))
+    return rows.select("repo_id", "path", "language", F.col("r.why").alias("exclude_reason"), (F.col("r.why") != "").alias("excluded"), "r.text", "r.loc")
 
 
 def import_edges(files: DataFrame) -> DataFrame:
