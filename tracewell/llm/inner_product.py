@@ -19,6 +19,8 @@ BANDS = 256
 #: Rotated components that the partial sums take first; the bound on the rest decides who is looked at in full.
 HEAD_SHARE = 0.25
 EPS = 1e-6
+#: Share of a block's pairs from which it is multiplied as a whole.
+DENSE = 0.02
 
 
 def _vectors(df: DataFrame, id_: str, vector: str) -> DataFrame:
@@ -72,9 +74,13 @@ def _best(query: np.ndarray, qid: np.ndarray, floor_: np.ndarray, cand: np.ndarr
         j += at
         keep = cid[j] != qid[r]
         r, j = r[keep], j[keep]
-        product = np.empty(len(r))
-        for s in range(0, len(r), 200_000):
-            product[s : s + 200_000] = np.einsum("ij,ij->i", query[r[s : s + 200_000]], cand[j[s : s + 200_000]])
+        if len(r) > DENSE * len(live) * (end - at):  # few are excluded: the whole block at once is cheaper
+            whole = query[live] @ cand[at:end].T
+            product = whole[np.searchsorted(live, r), j - at]
+        else:
+            product = np.einsum("ij,ij->i", query[r], cand[j])
+        reach = product >= low[r]
+        r, j, product = r[reach], j[reach], product[reach]
         scores.append((r, cid[j], product))
         if sum(len(x[0]) for x in scores) > 20 * k * len(query) or end == len(cand) or at == 0:
             scores = [_top(scores, k)]
