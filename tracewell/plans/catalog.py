@@ -378,11 +378,11 @@ st AS (SELECT repo_id, tech, ecosystem, CASE WHEN len([t FOR t IN tokens IF cont
 
 def _tech(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("repo_id"), F.col("html").alias("readme_text"))
-    docs = table(spark, sf_dir, "documents").where("n_chars < 2000")
-    hay = docs.groupBy("source").agg(F.lower(F.array_join(F.collect_list("text"), " ")).alias("haystack"))
+    vocab = readme.vocabulary(spark, _WORDS)
+    hay = readme.token_haystacks(table(spark, sf_dir, "documents").select(F.col("source").alias("repo_id"), "text"), vocab).withColumnRenamed("repo_id", "source")
     hays = pages.select("repo_id", F.concat(F.lit("src"), F.col("repo_id") % 20).alias("source")).join(hay, "source").select("repo_id", "haystack")
     present = pages.where("repo_id % 2 = 0").select("repo_id", F.lit("python").alias("ecosystem"))
-    return readme.tech_claims(pages, hays, present, readme.vocabulary(spark, _WORDS))
+    return readme.tech_claims(pages, hays, present, vocab)
 
 
 @_query(f"{_CLAIMS} SELECT repo_id, tech, status FROM st")
