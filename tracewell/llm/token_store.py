@@ -151,15 +151,30 @@ def write(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str
 
     ordered = recipes.repartitionByRange("doc_id", "uid").sortWithinPartitions("doc_id", "uid")
     recipes = stored(ordered.mapInArrow(rooted, "uid long, doc_id long, n_tokens long, addresses array<binary>, root binary, file int"), "recipes")
+    return Store(spark, name, recipes, stored(_topped(recipes), "manifest"), 2 if dtype == "<u2" else 4)
+
+
+def _topped(recipes: DataFrame) -> DataFrame:
+    """The manifest of recipes: per file its documents, their ids, and the Merkle root over their roots in order."""
     leaves = F.sort_array(F.collect_list(F.struct("doc_id", "uid", "root"))).getField("root")
-    manifest = recipes.groupBy("file").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("ids"), F.min(F.struct("doc_id", "uid")).alias("first"), leaves.alias("roots"))
+    files = recipes.groupBy("file").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("ids"), leaves.alias("roots"))
 
     def topped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([merkle(r) for r in batch.column(3).to_pylist()], pa.binary())], ["file", "documents", "ids", "root"])
 
-    manifest = stored(manifest.select("file", "documents", "ids", "roots").mapInArrow(topped, "file int, documents long, ids long, root binary"), "manifest")
-    return Store(spark, name, recipes, manifest, 2 if dtype == "<u2" else 4)
+    return files.mapInArrow(topped, "file int, documents long, ids long, root binary")
+
+
+def verify(store: Store) -> None:
+    """Raises unless the recipes of every file give the manifest's Merkle root and its numbers of documents and ids."""
+    said, found = store.manifest.alias("m"), _topped(store.recipes).alias("r")
+    same = F.lit(True)
+    for c in ("file", "documents", "ids", "root"):
+        same = same & F.col(f"m.{c}").eqNullSafe(F.col(f"r.{c}"))
+    bad = said.join(found, F.col("m.file") == F.col("r.file"), "full").where(~same).select(F.coalesce("m.file", "r.file")).head()
+    if bad is not None:
+        raise ValueError(f"the recipes of file {bad[0]} don't match the Merkle manifest")
 
 
 def starts(store: Store) -> DataFrame:
@@ -174,8 +189,10 @@ def starts(store: Store) -> DataFrame:
 def read(store: Store) -> DataFrame:
     """Every document from the files: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit, binary).
 
-    Raises where a chunk doesn't hash to its address or a document's addresses don't give its Merkle root.
+    Raises at once if recipes don't match the manifest; and, as documents are read, where a chunk doesn't hash to its address or a
+    document's addresses don't give its Merkle root.
     """
+    verify(store)
     spark, width = store.spark, store.width
     pieces = store.recipes.select("uid", F.posexplode("addresses").alias("seq", "bucket_key"))
     chunks = spark.table(store.chunks).where("ids is not null").select("bucket_key", "ids")
