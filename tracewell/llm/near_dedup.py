@@ -21,6 +21,8 @@ PER_BAND, MISS = 6, 1e-8
 #: Short texts get fewer, so that a band holds some shingles of theirs and a passage in common isn't enough to meet: sizes from
 #: one bound to the next make a class with as many bands as a link may have differing shingles, and some more.
 BOUNDS = (1, 12, 18, 27, 40, 60, 90, 135, 200, 300)
+#: A link of a set with fewer shingles is found by single shingles too, as all it shares may fall into the bands of what differs.
+SINGLE_BELOW = 12
 #: Bits of a register kept after the leading one; the leading zeros have six more. A short text fills one register of a band,
 #: which must then tell texts apart alone, so there are more than estimates need.
 MANTISSA = 42
@@ -100,9 +102,23 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip((same - chance) / (1 - chance), 0, 1)
 
 
+def single_keys(hashes: np.ndarray, t: float) -> np.ndarray:
+    """Keys of single shingles, for sets that may link to one of under SINGLE_BELOW shingles; bands may miss such links, these can't.
+
+    Linked sets share t of either's shingles at least, so the first they share is among the first n - t * n + 1 of each, in the
+    order of hashes.
+    """
+    n = len(hashes)
+    if n * t >= SINGLE_BELOW:
+        return np.zeros(0, np.int64)
+    return mixed(hashes[: n - int(np.ceil(t * n - 1e-9)) + 1] * _GOLD + np.uint64(SHINGLE)).view(np.int64)
+
+
 def band_keys(hashes: np.ndarray, t: float) -> np.ndarray:
-    """64-bit keys of the bands that have a filled bucket, in the set's size class and in any class above that a link may be in."""
+    """64-bit keys of the bands that have a filled bucket, in the set's size class and in any class above that a link may be in; and single_keys."""
     n, out = len(hashes), [np.zeros(0, np.int64)]
+    if n:
+        out.append(single_keys(hashes, t))
     per_class = classes(t)
     for c in range(size_class(n), size_class(int(n / t)) + 1) if n else ():
         bands = registers(hashes, per_class[c]).reshape(-1, PER_BAND)
