@@ -2,14 +2,17 @@
 
 Files, all Parquet, under one folder of the shared file system:
   chunks   bucketed by address: unique chunks (address, n, ids), and the rows of recipes before they are put in order
-  recipes  in ascending doc_id: uid, doc_id, n_tokens, the addresses of the document's chunks in order, its Merkle root
-  manifest a row per recipe file: documents, ids, and the Merkle root over its documents' roots
+  recipes  in ascending doc_id: uid, doc_id, n_tokens, the addresses of the document's chunks in order, its Merkle root, its place
+           in the file and the ids before it there
+  manifest a row for every BLOCK documents of a recipe file: documents, ids, first and last doc_id, and the Merkle root over their roots
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +31,8 @@ WIDTH, BITS, LEAST, MOST = 16, 10, 256, 4096
 #: Addresses that a task remembers, so that copies it meets again bring no bytes.
 SEEN = 400_000
 BUCKETS_PER_PARTITION = 1
+#: Documents of a recipe file under one row of the manifest.
+BLOCK = 1_024
 BATCH_BYTES = 2 << 20
 
 
@@ -45,31 +50,37 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 
 def cuts(ids: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of one document. Equal runs of ids are cut alike wherever they stand, once a cut has been met."""
-    n = len(ids)
-    if n <= LEAST:
-        return np.array([n])
-    x = mixed(ids.astype(np.uint64) + np.uint64(1))
-    m = 1
-    while m < WIDTH:
-        x = x[:-m] * np.uint64(0x9E3779B97F4A7C15) + x[m:]
-        m *= 2
-    hits = np.flatnonzero(mixed(x) >> np.uint64(64 - BITS) == 0) + WIDTH
-    out, at = [], 0
-    while n - at > LEAST:
-        i = np.searchsorted(hits, at + LEAST)
-        end = min(int(hits[i]) if i < len(hits) else n, at + MOST, n)
-        out.append(end)
-        at = end
-    if at < n:
-        out.append(n)
-    return np.array(out)
+    """Ends of the chunks of one document."""
+    return np.array(next(document_cuts(ids, [0, len(ids)])))
+
+
+def document_cuts(ids: np.ndarray, begin: list[int]) -> Iterator[list[int]]:
+    """For each document, from one of `begin` to the next, the ends of its chunks. Equal runs of ids are cut alike wherever they
+    stand, once a cut has been met."""
+    hits: list[int] = []
+    if len(ids) > LEAST:
+        x = mixed(ids.astype(np.uint64) + np.uint64(1))
+        m = 1
+        while m < WIDTH:
+            x = x[:-m] * np.uint64(0x9E3779B97F4A7C15) + x[m:]
+            m *= 2
+        # a cut is LEAST ids away from a document's start at least, so its WIDTH ids are all the document's
+        hits = (np.flatnonzero(mixed(x) >> np.uint64(64 - BITS) == 0) + WIDTH).tolist()
+    for at, n in itertools.pairwise(begin):
+        out = []
+        while n - at > LEAST:
+            i = bisect_left(hits, at + LEAST)
+            at = min(hits[i] if i < len(hits) else n, at + MOST, n)
+            out.append(at)
+        if at < n:
+            out.append(n)
+        yield out
 
 
 @dataclass(frozen=True)
 class Store:
     spark: SparkSession
-    chunks: str
+    chunks: DataFrame
     recipes: DataFrame
     manifest: DataFrame
     width: int
@@ -87,13 +98,12 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, dtype: str) -> DataFr
         seen: set[bytes] = set()
         for part, texts in runs(batches, "body", BATCH_BYTES):
             flat, size = encode(texts)
-            ends = np.cumsum(size)
-            out = []
-            for key, a, b in zip(part.column(0).to_pylist(), (ends - size).tolist(), ends.tolist(), strict=True):
-                ids = np.append(flat[a:b], np.int32(end_id))
-                raw = ids.astype(dtype).tobytes()
-                width, at = len(raw) // len(ids), 0
-                for seq, end in enumerate(cuts(ids).tolist()):
+            ids = np.insert(flat, np.cumsum(size), end_id)
+            begin = np.r_[0, np.cumsum(size + 1)].tolist()
+            raw = memoryview(ids.astype(dtype).tobytes())
+            width, out = len(raw) // len(ids), []
+            for key, at, ends in zip(part.column(0).to_pylist(), begin, document_cuts(ids, begin), strict=False):
+                for seq, end in enumerate(ends):
                     chunk = raw[at * width : end * width]
                     where = address(chunk)
                     if where in seen:
@@ -102,7 +112,7 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, dtype: str) -> DataFr
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(where)
-                        out.append((uid, key, seq, end - at, where, chunk, where))
+                        out.append((uid, key, seq, end - at, where, bytes(chunk), where))
                     at = end
                 uid += 1
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -141,79 +151,106 @@ def write(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str
     with no_shuffle_left(spark):
         # the rows are in their buckets already; a bucketed table lets later joins on the address leave the bytes where they are
         rows.write.bucketBy(buckets, "bucket_key").option("path", scratch_path(spark, "chunks")).option("compression", "zstd").saveAsTable(name)
+    chunks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, and chunks knows them with their buckets
     addresses = F.sort_array(F.collect_list(F.struct("seq", "address"))).getField("address")
-    recipes = spark.table(name).groupBy("uid", "doc_id").agg(F.sum("n").cast("long").alias("n_tokens"), addresses.alias("addresses"))
+    recipes = chunks.groupBy("uid", "doc_id").agg(F.sum("n").cast("long").alias("n_tokens"), addresses.alias("addresses"))
 
     def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, place, inside = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             roots = [merkle(a) for a in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(roots, pa.binary()), pa.array([TaskContext.get().partitionId()] * len(batch), pa.int32())], [*batch.schema.names, "root", "file"])
+            n = batch.column(2).to_numpy()
+            before = inside + np.cumsum(n) - n
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(roots, pa.binary()), pa.array([file] * len(batch), pa.int32()), pa.array(np.arange(place, place + len(batch))), pa.array(before)], [*batch.schema.names, "root", "file", "place", "before"])
+            place, inside = place + len(batch), inside + int(n.sum())
 
     ordered = recipes.repartitionByRange("doc_id", "uid").sortWithinPartitions("doc_id", "uid")
-    recipes = stored(ordered.mapInArrow(rooted, "uid long, doc_id long, n_tokens long, addresses array<binary>, root binary, file int"), "recipes")
-    return Store(spark, name, recipes, stored(_topped(recipes), "manifest"), 2 if dtype == "<u2" else 4)
+    recipes = stored(ordered.mapInArrow(rooted, "uid long, doc_id long, n_tokens long, addresses array<binary>, root binary, file int, place long, before long"), "recipes")
+    return Store(spark, chunks, recipes, stored(_topped(recipes), "manifest"), 2 if dtype == "<u2" else 4)
+
+
+_MANIFEST = "file int, block long, documents long, ids long, before long, first_id long, last_id long, ordered boolean, root binary"
 
 
 def _topped(recipes: DataFrame) -> DataFrame:
-    """The manifest of recipes: per file its documents, their ids, and the Merkle root over their roots in order."""
-    leaves = F.sort_array(F.collect_list(F.struct("doc_id", "uid", "root"))).getField("root")
-    files = recipes.groupBy("file").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("ids"), leaves.alias("roots"))
+    """The manifest of recipes: a row for every BLOCK documents of a file, with the Merkle root over their roots in order."""
+    each = F.sort_array(F.collect_list(F.struct("place", "doc_id", "uid", "n_tokens", "before", "root")))
+    blocks = recipes.groupBy("file", F.floor(F.col("place") / BLOCK).alias("block")).agg(each.alias("d"))
 
     def topped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([merkle(r) for r in batch.column(3).to_pylist()], pa.binary())], ["file", "documents", "ids", "root"])
+            out = []
+            for file, block, docs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key = [(d["doc_id"] is not None, d["doc_id"] or 0, d["uid"]) for d in docs]
+                ordered = key == sorted(key) and all(b["before"] == a["before"] + a["n_tokens"] and b["place"] == a["place"] + 1 for a, b in itertools.pairwise(docs))
+                out.append((file, block, len(docs), sum(d["n_tokens"] for d in docs), docs[0]["before"], docs[0]["doc_id"], docs[-1]["doc_id"], ordered, merkle([d["root"] for d in docs])))
+            kinds = [pa.int32(), *[pa.int64()] * 6, pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [f.split()[0] for f in _MANIFEST.split(", ")])
 
-    return files.mapInArrow(topped, "file int, documents long, ids long, root binary")
+    return blocks.mapInArrow(topped, _MANIFEST)
 
 
 def verify(store: Store) -> None:
-    """Raises unless the recipes of every file give the manifest's Merkle root and its numbers of documents and ids."""
+    """Raises unless the recipes of every block give the manifest's Merkle root and its numbers of documents and ids, and all are in order."""
     said, found = store.manifest.alias("m"), _topped(store.recipes).alias("r")
-    same = F.lit(True)
-    for c in ("file", "documents", "ids", "root"):
+    same = F.col("r.ordered")
+    for c in store.manifest.columns:
         same = same & F.col(f"m.{c}").eqNullSafe(F.col(f"r.{c}"))
-    bad = said.join(found, F.col("m.file") == F.col("r.file"), "full").where(~same).select(F.coalesce("m.file", "r.file")).head()
+    joined = said.join(found, (F.col("m.file") == F.col("r.file")) & (F.col("m.block") == F.col("r.block")), "full")
+    bad = joined.where(~F.coalesce(same, F.lit(False))).select(F.coalesce("m.file", "r.file")).head()
+    if bad is None:  # blocks in order in their file, and files among each other
+        w = Window.partitionBy("file").orderBy("block")
+        least = F.lit(-(1 << 63))
+        next_ = F.lead(F.coalesce("first_id", least)).over(w)
+        bad = store.manifest.select("file", (F.coalesce("last_id", least) > next_).alias("late"), (F.col("before") + F.col("ids") != F.lead("before").over(w)).alias("gap")).where("late or gap").head()
+    if bad is None:
+        files = store.manifest.groupBy("file").agg(F.min(F.coalesce("first_id", least)).alias("a"), F.max(F.coalesce("last_id", least)).alias("z"))
+        bad = files.withColumn("next", F.lead("a").over(Window.orderBy("file"))).where("z > next").head()
     if bad is not None:
         raise ValueError(f"the recipes of file {bad[0]} don't match the Merkle manifest")
 
 
 def starts(store: Store) -> DataFrame:
-    """uid and start: the ids of all documents before, from the manifest's sums and the order inside each recipe file."""
+    """file and the ids of all files before, from the manifest's sums: a row per recipe file."""
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    offset = store.manifest.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "uid").rowsBetween(Window.unboundedPreceding, -1)
-    own = store.recipes.select("uid", "doc_id", "file", "n_tokens").withColumn("_inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    return own.join(offset, "file").select("uid", (F.col("_offset") + F.col("_inside")).alias("start"))
+    return store.manifest.groupBy("file").agg(F.sum("ids").alias("ids")).select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("offset"))
 
 
 def read(store: Store) -> DataFrame:
     """Every document from the files: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit, binary).
 
     Raises at once if recipes don't match the manifest; and, as documents are read, where a chunk doesn't hash to its address or a
-    document's addresses don't give its Merkle root.
+    document's addresses don't give its Merkle root. Documents of one root have the same ids, which are put together once.
     """
     verify(store)
-    spark, width = store.spark, store.width
-    pieces = store.recipes.select("uid", F.posexplode("addresses").alias("seq", "bucket_key"))
-    chunks = spark.table(store.chunks).where("ids is not null").select("bucket_key", "ids")
-    placed = pieces.join(chunks, "bucket_key", "left").select("uid", "seq", F.col("bucket_key").alias("address"), "ids")
-    whole = placed.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("seq", "address", "ids"))).alias("c")).select("uid", "c.address", "c.ids")
-    info = starts(store).join(store.recipes.select("uid", "doc_id", "n_tokens", "root"), "uid")
+    width = store.width
+    # copies of one input partition are put together once; a document with many copies has a row for each such partition
+    recipes = store.recipes.withColumn("part", F.shiftright("uid", 36))
+    different = recipes.groupBy("root", "part").agg(F.first("addresses").alias("addresses"))
+    pieces = different.select("root", "part", F.posexplode("addresses").alias("seq", "bucket_key"))
+    chunks = store.chunks.where("ids is not null").select("bucket_key", "ids")
+    placed = pieces.join(chunks, "bucket_key", "left").select("root", "part", "seq", F.col("bucket_key").alias("address"), "ids")
+    whole = placed.groupBy("root", "part").agg(F.sort_array(F.collect_list(F.struct("seq", "address", "ids"))).alias("c")).select("root", "part", "c.address", "c.ids")
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids = None, b""
         for batch in batches:
             for i in range(0, len(batch), 500):
                 part = batch.slice(i, 500)
                 out = []
-                for where, chunks_, n, root in zip(*(part.column(k).to_pylist() for k in (3, 4, 2, 5)), strict=True):
-                    if len(where) != len(chunks_) or any(c is None or address(c) != a for a, c in zip(where, chunks_, strict=True)):
-                        raise ValueError("a chunk is missing or doesn't match its address")
-                    raw = b"".join(chunks_)
-                    if merkle(where) != root or len(raw) != n * width:
-                        raise ValueError("a document doesn't match its Merkle root")
-                    out.append(np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(out, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
-
-    return info.join(whole, "uid").select("doc_id", "start", "n_tokens", "address", "ids", "root").mapInArrow(rebuilt, "doc_id long, start long, n_tokens long, ids binary")
-
-
+                for root, n, where, chunks_ in zip(*(part.column(k).to_pylist() for k in (0, 3, 4, 5)), strict=True):
+                    if root != last:
+                        if where is None or len(where) != len(chunks_) or any(c is None or address(c) != a for a, c in zip(where, chunks_, strict=True)):
+                            raise ValueError("a chunk is missing or doesn't match its address")
+                        if merkle(where) != root:
+                            raise ValueError("a document doesn't match its Merkle root")
+                        last, ids = root, np.frombuffer(b"".join(chunks_), f"<u{width}").astype("<u4").tobytes()
+                    if len(ids) != 4 * n:
+                        raise ValueError("a document has another number of ids")
+                    out.append(ids)
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), pa.array(out, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+
+    info = recipes.join(F.broadcast(starts(store)), "file").select("root", "part", "doc_id", (F.col("offset") + F.col("before")).alias("start"), "n_tokens")
+    out = info.join(whole, ["root", "part"], "left").select("root", "doc_id", "start", "n_tokens", "address", "ids")
+    return out.mapInArrow(rebuilt, "doc_id long, start long, n_tokens long, ids binary")
