@@ -51,7 +51,7 @@ def test_equals_brute_force(spark, monkeypatch, numerator, block):
     rows = corpus(numerator)
     if block:
         monkeypatch.setattr(nd, "BLOCK_DOCS", block)
-        monkeypatch.setattr(nd, "FAMILY_DOCS", block // 2)
+        monkeypatch.setattr(nd, "STAR_DOCS", block // 2)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = sorted(tuple(x) for x in nd.near_duplicates(df, numerator=numerator).collect())
     assert got == brute(rows, numerator, 100)

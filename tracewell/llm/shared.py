@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,17 +77,16 @@ def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
 
 
 def runs(batches: Iterator[pa.RecordBatch], name: str, most: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches whose texts in column `name` hold about `most` bytes (at least one row)."""
+    """Slices of the batches whose texts in column `name` hold about `most` bytes (at least one row); only a slice's texts are copied."""
     for batch in batches:
-        texts = binary_column(batch, name)
-        start = total = 0
-        for i, x in enumerate(texts):
-            if total and total + len(x) > most:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, total = i, 0
-            total += len(x)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_numpy(zero_copy_only=False)
+        end = np.cumsum(size.astype(np.int64))
+        start = 0
+        while start < len(batch):
+            stop = max(start + 1, int(np.searchsorted(end, (end[start - 1] if start else 0) + most, "right")))
+            part = batch.slice(start, stop - start)
+            yield part, binary_column(part, name)
+            start = stop
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
