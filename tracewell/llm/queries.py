@@ -46,7 +46,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "copies", "taken")
+    return mixing.allocation(docs)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.removal_digest(_table(spark, sf_dir, "documents"))
+    return repeats.removal_digest(_table(spark, sf_dir, "documents")).drop("removed")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,7 +1,7 @@
 """DuckDB statements of the queries that SQL can express over whole tables.
 
 The others have none: token counts (3), packing (7) and the token store (9) need a tokenizer, quality rules (4) and licence scans
-(8) a learned model, and repeated passages (10) a row for each of a text's bytes, which is too slow on whole tables.
+(8) a learned model.
 """
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -25,10 +25,15 @@ r AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (
 c AS (SELECT *, 3 * source_size * lw <= lft * w AS capped FROM r),
 f AS (SELECT lft AS fl, lw AS fw FROM c WHERE NOT capped ORDER BY n LIMIT 1),
 g AS (SELECT source, source_size, (CASE WHEN capped OR fl IS NULL THEN 3 * source_size ELSE fl * w / fw END)::DOUBLE AS target FROM c LEFT JOIN f ON true),
-p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12::DOUBLE)::INT ELSE 0 END AS sure FROM g),
-x AS (SELECT d.*, p.source_size, p.target, p.sure, CASE WHEN p.source_size > 0 THEN greatest(p.target / p.source_size - p.sure, 0.0::DOUBLE) ELSE 0 END AS pi, p.target - p.sure * p.source_size AS want FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-y AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY CASE WHEN pi > 0 THEN (u / (1 - u)) / (pi / (1 - pi)) END, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM x),
-z AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE sure + CASE WHEN pi > 0 AND abs(upto - want) < abs(upto - size - want) THEN 1 ELSE 0 END END AS copies FROM y)
+p AS (SELECT *, CASE WHEN target / source_size - sure > 0 THEN target - sure * source_size ELSE 0 END AS want FROM (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12::DOUBLE)::INT ELSE 0 END AS sure FROM g)),
+k AS (SELECT p.source, want, k, pow(2.0::DOUBLE, k * 0.5::DOUBLE) AS g, words FROM p JOIN (SELECT source, len(bin(size)) AS k, sum(size)::BIGINT AS words FROM d WHERE size > 0 GROUP BY ALL) q ON p.source IS NOT DISTINCT FROM q.source WHERE want > 0),
+m AS (SELECT *, (want - coalesce(sum(words) OVER (PARTITION BY source ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE) / sum(words * g) OVER (PARTITION BY source ORDER BY k DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c FROM k),
+e AS (SELECT source, max(k) AS k0, arg_max(c, k) AS c0 FROM m WHERE c * g < 1 GROUP BY source),
+i AS (SELECT m.source, m.k, CASE WHEN k0 IS NULL OR m.k > k0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, c0 * g) END AS chance FROM m LEFT JOIN e ON m.source IS NOT DISTINCT FROM e.source),
+x AS (SELECT d.*, p.source_size, p.target, p.sure, p.want, CASE WHEN size > 0 THEN CASE WHEN chance >= 1 THEN 0 WHEN chance > 0 THEN (u / (1 - u)) / (chance / (1 - chance)) END END AS q
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN i ON d.source IS NOT DISTINCT FROM i.source AND len(bin(d.size)) = i.k),
+y AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM x),
+z AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE sure + CASE WHEN q IS NOT NULL AND abs(upto - want) < abs(upto - size - want) THEN 1 ELSE 0 END END AS copies FROM y)
 SELECT doc_id, size::BIGINT AS size, source_size, target, copies::INT AS copies, (copies * size)::BIGINT AS taken FROM z""",
     "op5_top_products": """
 WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
@@ -42,4 +47,15 @@ i AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a J
 l AS MATERIALIZED (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
 r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id)
 SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(c) AS component_id, r.doc_id = min(c) AS kept FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id""",
+    "op10_repeated_passages": """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS MATERIALIZED (SELECT r, i, hash(b[i:i + 399]) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d)),
+hit AS (SELECT r, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+isle AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS n FROM (SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 1 ELSE 0 END AS new FROM hit)),
+run AS (SELECT r, min(i) AS a, max(i) + 399 AS z FROM isle GROUP BY r, n),
+gone AS (SELECT r, sum(z - a + 1) AS n_removed, count(*) AS n_spans FROM run GROUP BY r),
+part AS (SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) + 1 AS a, a - 1 AS z FROM run UNION ALL SELECT r, max(z) + 1, 2000000000 FROM run GROUP BY r),
+kept AS (SELECT r, list_reduce(list(CASE WHEN part.a > part.z THEN ''::BLOB ELSE b[part.a:part.z] END ORDER BY part.a), lambda x, y: x || y) AS k FROM part JOIN d USING (r) GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(coalesce(k, b)) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)""",
 }
