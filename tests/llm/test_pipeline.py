@@ -10,6 +10,7 @@ import corpus_pipeline as cp
 from tests.llm.test_mixing import WORD, brute_targets
 from tests.llm.test_near_dedup import brute as components
 from tests.llm.test_quality import brute as stats
+from tests.llm.test_repeats import brute_passages
 from tracewell.llm.repeats import LENGTH
 
 
@@ -56,20 +57,10 @@ def test_stages_against_brute_force(spark, folder, tmp_path):
     keep = sorted({d for d, _, _, k in components(named, cp.SIMILARITY_PERCENT, 100) if k})
     assert sorted(r.doc_id for r in once if r.doc_id is not None) == keep
     assert sum(r.doc_id is None for r in once) == sum(r.doc_id is None for r in good)
-    seen = defaultdict(int)
-    for r in once:
-        b = r.text.encode()
-        for i in range(len(b) - LENGTH + 1):
-            seen[b[i : i + LENGTH]] += 1
-    rest = {}
-    for r in once:
-        b = r.text.encode()
-        gone = np.zeros(len(b), bool)
-        for i in range(len(b) - LENGTH + 1):
-            if seen[b[i : i + LENGTH]] > 1:
-                gone[i : i + LENGTH] = True
-        rest[r.doc_id] = np.frombuffer(b, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
-    assert {r.doc_id: r.text for r in cut} == {k: v for k, v in rest.items() if v}
+    texts = [r.text for r in once]
+    rest = dict(zip([r.doc_id for r in once], brute_passages(texts, cp.PASSAGE_BYTES, cp.PASSAGE_WORDS, LENGTH), strict=True))
+    assert any(v != t for v, t in zip(rest.values(), texts, strict=True))
+    assert {r.doc_id: r.text for r in cut} == {k: v for k, v in rest.items() if v.strip()}
     assert all(r.n_chars == len(r.text) for r in cut)
     sizes, taken, most = defaultdict(int), defaultdict(int), defaultdict(int)
     for r in cut:
