@@ -14,6 +14,8 @@ from tracewell.llm import mixing, near_dedup, packing, quality, repeats, shared
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SIMILARITY_PERCENT = 80
+#: Passages of so many words are looked for, by strings of four bytes a word.
+PASSAGE_WORDS, PASSAGE_BYTES = 50, 200
 
 
 def _begin(spark: SparkSession) -> None:
@@ -31,19 +33,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near duplicates: that of the smallest doc_id, or of equal ids the smallest text."""
     _begin(spark)
-    found = near_dedup.near_duplicates(docs, numerator=SIMILARITY_PERCENT, denominator=100)
-    gone = found.where("not kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    again = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
-    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
+    return near_dedup.one_of_each(docs, numerator=SIMILARITY_PERCENT, denominator=100).select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that repeat; a document of which nothing is left goes."""
+    """Texts without the passages that repeat: what strings of PASSAGE_BYTES find and has PASSAGE_WORDS words or LENGTH bytes.
+
+    A document of which no word is left goes.
+    """
     _begin(spark)
-    out = repeats.without_repeats(docs)
-    return out.where(F.col("text").isNull() | (F.length("text") > 0)).select(*COLUMNS)
+    out = repeats.without_repeats(docs, length=PASSAGE_BYTES, words=PASSAGE_WORDS, size=repeats.LENGTH)
+    return out.where(F.col("text").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
