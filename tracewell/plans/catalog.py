@@ -34,11 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # Pieces of SQL that several statements share.
-_R4 = "floor(({}) * 10000 + 0.5) / 10000.0"
+_R4 = "floor(({})::DOUBLE * 10000 + 0.5::DOUBLE) / 10000.0::DOUBLE"
 _LINES = "string_split(regexp_replace(text, '\\n$', ''), chr(10))"
 _LOC = f"CASE WHEN text = '' THEN 0 ELSE len([x FOR x IN {_LINES} IF regexp_matches(x, '[^ \\t\\r\\n\\f\\v]')]) END"
 _FILES = f"files AS (SELECT source AS repo_id, doc_id, {_LOC} AS loc FROM documents)"
-_RANKED = f"""WITH {_FILES}, s AS (SELECT *, {_R4.format("0.6 * loc / greatest(max(loc) OVER (PARTITION BY repo_id), 1)")} AS score FROM files),
+_RANKED = f"""WITH {_FILES}, s AS (SELECT *, {_R4.format("0.6::DOUBLE * loc / greatest(max(loc) OVER (PARTITION BY repo_id), 1)")} AS score FROM files),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY score DESC, doc_id) AS rn FROM s)"""
 _COVER = "cover AS (SELECT repo_id, sum(loc)::BIGINT AS total_loc, sum(CASE WHEN rn <= 40 THEN loc ELSE 0 END)::BIGINT AS compared_loc FROM ranked GROUP BY 1)"
 
@@ -317,7 +317,9 @@ def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir).select("path", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.length("body").cast("long").alias("chars"))
 
 
-_TERMS = "[lower(x) FOR x IN regexp_extract_all({}, '[A-Za-z][A-Za-z0-9_]*|[0-9]+') IF length(x) >= 2 AND lower(x) NOT IN " + _STOPSQL + "]"
+# words and numbers, and the parts of camel and snake case where there are several: an upper-case letter before a lower-case one begins a part
+_PARTS = "regexp_extract_all(regexp_replace(x, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+')"
+_TERMS = f"[y FOR y IN flatten([CASE WHEN len({_PARTS}) > 1 THEN list_prepend(lower(x), [lower(p) FOR p IN {_PARTS}]) ELSE [lower(x)] END FOR x IN regexp_extract_all({{}}, '[A-Za-z][A-Za-z0-9_]*|[0-9]+')]) IF length(y) >= 2 AND y NOT IN {_STOPSQL}]"
 
 
 @_query(f"""WITH {_WINDOWS}, tf AS (SELECT repo_id, citation, term, count(*) AS tf FROM (SELECT repo_id, citation, unnest({_TERMS.format("body")}) AS term FROM ch) GROUP BY 1, 2, 3),
@@ -331,7 +333,7 @@ sc AS (SELECT d.repo_id, d.query_id, d.citation, {_R4.format("dot / (nm.norm * q
 SELECT * FROM (SELECT repo_id, query_id, citation, score, row_number() OVER (PARTITION BY repo_id, query_id ORDER BY score DESC, citation) AS rank FROM sc WHERE score > 0) WHERE rank <= 3""")
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("src"), F.col("item_id") % 20).alias("repo_id"), F.col("item_id").alias("query_id"), "text")
-    return retrieval.search(b, _chunks(spark, sf_dir), 3, split_identifiers=False).withColumn("rank", F.col("rank").cast("long"))
+    return retrieval.search(b, _chunks(spark, sf_dir), 3).withColumn("rank", F.col("rank").cast("long"))
 
 
 # README: pages, a line at each closing tag; every seventh line that holds "the " opens or closes a fence
@@ -371,7 +373,7 @@ def path_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORDS = [("ing", "python", ["therehaing"]), ("able", "python", ["the"]), ("with", "node", ["zzz"]), ("eau", "python", ["qqq"]), ("that", "python", ["anthat", "hathat"])]
 _VOCABSQL = "vo AS (SELECT * FROM (VALUES ('ing','python',['therehaing']),('able','python',['the']),('with','node',['zzz']),('eau','python',['qqq']),('that','python',['anthat','hathat'])) v(tech, ecosystem, tokens))"
-_CLAIMS = f"""WITH {_VOCABSQL}, hay AS (SELECT d.source, lower(string_agg(d.text, ' ' ORDER BY doc_id)) AS hay FROM documents d WHERE n_chars < 2000 GROUP BY 1),
+_CLAIMS = f"""WITH {_VOCABSQL}, hay AS (SELECT d.source, lower(string_agg(d.text, ' ' ORDER BY doc_id)) AS hay FROM documents d GROUP BY 1),
 cl AS (SELECT page_id AS repo_id, tech, ecosystem, tokens FROM pages JOIN vo ON regexp_matches(lower(html), '(^|[^a-z0-9_à-ÿ])' || tech || '($|[^a-z0-9_à-ÿ])')),
 st AS (SELECT repo_id, tech, ecosystem, CASE WHEN len([t FOR t IN tokens IF contains(hay, t)]) > 0 THEN 'verified' WHEN ecosystem = 'python' AND repo_id % 2 = 0 THEN 'contradicted' ELSE 'unverified' END AS status FROM cl LEFT JOIN hay ON source = 'src' || (repo_id % 20))"""
 
