@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -40,3 +41,23 @@ def review(context: str, chat: Chat | None) -> str | None:
         return chat(_SYSTEM, context)
     except Exception:  # noqa: BLE001  advice may fail in any way and must never fail an analysis
         return None
+
+
+def probe_evidence(probes_: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Each probe with the evidence it aims at; a general one, or one at nothing known, without."""
+    return probes_.join(evidence.select("repo_id", F.col("id").alias("target"), "type", "summary"), ["repo_id", "target"], "left")
+
+
+def reviewed(context: str, chat: Chat | None) -> tuple[str | None, list[dict]]:
+    """Explanation and interview questions of one context from a chat that answers in JSON; nothing if there is no chat or it fails."""
+    answer = review(context, chat)
+    try:
+        data = json.loads(answer) if answer else {}
+    except ValueError:
+        return None, []
+    if not isinstance(data, dict):
+        return None, []
+    asked = data.get("interview_questions")
+    some = [x for x in (asked if isinstance(asked, list) else []) if isinstance(x, dict) and str(x.get("question", "")).strip()]
+    told = str(data.get("summary") or "").strip() or None
+    return told, [{"question": str(x["question"]).strip(), "target": str(x.get("targets") or "general").strip()} for x in some]

@@ -40,6 +40,19 @@ def correct(authentic: Column, verdict: Column) -> Column:
     return F.when(authentic, verdict != "flagged").otherwise(verdict.isin("flagged", "needs_human_review"))
 
 
+def markdown(split: str, matrix: dict, counts: dict, outcomes: list[dict]) -> str:
+    """The report of an evaluation: rows of confusion() and triage(), and the outcomes (repo_id, category, verdict, composite, clone_similarity, correct)."""
+    m, t = matrix, counts
+    share = lambda k: f"{t[k]}/{t['total']} ({t[k] / max(1, t['total']):.1%})"
+    table = lambda title, rows: [f"## {title}", "", "| Metric | Value |", "|---|---|", *(f"| {a} | {b} |" for a, b in rows), ""]
+    lines = [f"# Evaluation of the {split} split", ""]
+    lines += table("Detection (positive: flagged)", [("Repositories", m["tp"] + m["fp"] + m["tn"] + m["fn"]), *((k.replace("_", " ").capitalize(), f"{m[k]:.3f}") for k in ("precision", "recall", "f1", "false_positive_rate", "accuracy")), ("tp / fp / tn / fn", f"{m['tp']} / {m['fp']} / {m['tn']} / {m['fn']}")])
+    lines += table("Triage", [("Auto-resolved", share("auto_resolved")), ("Review queue", share("review_queue")), ("Insufficient signal", share("insufficient")), ("Flagged or queued fakes", f"{t['detected']}/{t['fakes']} ({t['detection_rate']:.1%})"), ("Reviewer minutes (assumed)", f"{t['baseline_minutes']} to {t['tool_minutes']} ({t['saved_pct']:.0%} saved)")])
+    lines += ["## Outcomes", "", "| repository | category | verdict | composite | clone | right |", "|---|---|---|---|---|---|"]
+    lines += [f"| {o['repo_id']} | {o['category']} | {o['verdict']} | {o['composite']:.3f} | {o['clone_similarity']:.3f} | {'yes' if o['correct'] else 'no'} |" for o in outcomes]
+    return "\n".join([*lines, ""])
+
+
 def leaks(labelled: DataFrame) -> DataFrame:
     """repo_ids that stand in more than one split or more than once."""
     return labelled.groupBy("repo_id").agg(F.count("*").alias("rows"), F.countDistinct("split").alias("splits")).where("rows > 1 or splits > 1")

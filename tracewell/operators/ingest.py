@@ -13,14 +13,16 @@ TOP_K, MAX_FILES = 40, 5000
 READMES = ("README.md", "README.rst", "README.txt", "README", "readme.md")
 
 
-def classified(contents: DataFrame) -> DataFrame:
+def classified(contents: DataFrame, most_files: int | None = MAX_FILES) -> DataFrame:
     """repo_id, path, length, content (binary) to files: language, exclude_reason (path first, then size, then encoding), text, loc.
 
-    The first MAX_FILES paths of each repository outside .git count. Content is only decoded where the path allows it.
+    The first `most_files` paths of each repository outside .git count (None: all, as for candidates). Content is only decoded where the path allows it.
     """
     inside = contents.where(~F.array_contains(F.split("path", "/"), ".git"))
-    order = Window.partitionBy("repo_id").orderBy("path")
-    rows = inside.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= MAX_FILES).drop("_n")
+    rows = inside
+    if most_files is not None:
+        order = Window.partitionBy("repo_id").orderBy("path")
+        rows = inside.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most_files).drop("_n")
     size = F.when(F.col("length") > MAX_BYTES, "too_large").otherwise("")
     rows = rows.withColumn("_why", bound(exclusion(F.col("path")), lambda w: F.when(w != "", w).otherwise(size)))
     # what was read: the reason, the text where there is none, and its lines of code

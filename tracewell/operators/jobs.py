@@ -2,9 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import datetime as dt
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+LOG = "id string, status string, repo_url string, result_json string, created_at timestamp, updated_at timestamp"
+
+
+def init(spark: SparkSession, path: str) -> DataFrame:
+    """The log at a path, made empty if there is none; as often as one likes."""
+    spark.createDataFrame([], LOG).write.mode("ignore").parquet(path)
+    return spark.read.schema(LOG).parquet(path)
+
+
+def append(spark: SparkSession, path: str, id_: str, status: str, repo_url: str = "", result: dict | None = None, created_at: dt.datetime | None = None) -> None:
+    """Add a state: running, done (with the result) or error (with {"error": ...}). Earlier states stay as they are."""
+    now = dt.datetime.now()
+    row = (id_, status, repo_url, None if result is None else json.dumps(result), created_at or now, now)
+    spark.createDataFrame([row], LOG).coalesce(1).write.mode("append").parquet(path)
+
+
+def run(spark: SparkSession, path: str, id_: str, repo_url: str, work) -> str:
+    """Call work(), log it as running and then as done or error, and give the last state."""
+    began = dt.datetime.now()
+    append(spark, path, id_, "running", repo_url, created_at=began)
+    try:
+        result, status = work(), "done"
+    except Exception as e:  # noqa: BLE001  whatever goes wrong is the job's state
+        result, status = {"error": f"{type(e).__name__}: {e}"}, "error"
+    append(spark, path, id_, status, repo_url, result, began)
+    return status
+
 
 def latest(log: DataFrame) -> DataFrame:
     """The last state of each job (id, created_at, updated_at, status, ...); of equal times the greatest status."""

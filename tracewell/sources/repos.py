@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 import subprocess
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.paths import MAX_BYTES, repo_parts, slug
+from ..functions.paths import _REPO, MAX_BYTES, repo_parts, slug
 
 MAX_COMMITS = 2000
 
@@ -21,6 +24,58 @@ def resolve(urls: DataFrame) -> DataFrame:
     return urls.withColumn("_p", p).select("*", "_p.host", "_p.owner", F.col("_p.name").alias("repo_name")).drop("_p").withColumn("slug", slug(F.col("owner"), F.col("repo_name")))
 
 
+def named(repo_id: str) -> tuple[str, str]:
+    """Owner (empty if there is none) and name of an id such as owner/name."""
+    owner, _, name = repo_id.rstrip("/").rpartition("/")
+    return owner.rpartition("/")[2], name
+
+
+@dataclass(frozen=True)
+class Target:
+    """What an analysis is asked about: a folder, and the address it came from if there is one."""
+
+    url: str
+    owner: str
+    name: str
+    folder: Path
+
+    @property
+    def slug(self) -> str:
+        return f"{self.owner}/{self.name}" if self.owner else self.name
+
+
+Run = Callable[[list[str]], object]
+
+
+def target(given: str, cache: Path, run: Run | None = None) -> Target:
+    """A folder as it is; an address as its copy in the cache, made by git where there is none yet. Anything else is an error."""
+    if Path(given).is_dir():
+        folder = Path(given).resolve()
+        return Target(str(folder), "", folder.name, folder)
+    found = re.match(_REPO, given)
+    if not found:
+        raise ValueError(f"neither a folder nor an address of a repository: {given}")
+    host, owner, name = found.groups()
+    folder = cache / host / owner / name
+    if not (folder / ".git").exists():
+        folder.parent.mkdir(parents=True, exist_ok=True)
+        (run or _git)(["git", "clone", "--quiet", given, str(folder)])
+    return Target(given, owner, name, folder)
+
+
+def _git(command: list[str]) -> None:
+    subprocess.run(command, check=True, capture_output=True)
+
+
+def metadata(at: Target, fetch: Callable[[str, float], dict], seconds: float = 10.0) -> dict:
+    """Default branch and date of creation as a host tells them; nothing if that fails in any way."""
+    try:
+        got = fetch(f"https://api.{at.url.split('/')[2]}/repos/{at.owner}/{at.name}", seconds)
+        return {k: got[v] for k, v in (("default_branch", "default_branch"), ("repo_created_at", "created_at"), ("is_fork", "fork")) if got.get(v) is not None}
+    except Exception:  # noqa: BLE001  metadata is extra: an analysis does without
+        return {}
+
+
 def tree(spark: SparkSession, repo_id: str, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Files under a folder: repo_id, path (from the folder), length, content (null above max_bytes); the filter on length is pushed to the scan."""
     base = root if "://" in root else f"file:{root}"

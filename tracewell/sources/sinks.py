@@ -19,7 +19,7 @@ HEADLINES = {
 
 
 def payload(results: DataFrame) -> DataFrame:
-    """repo_id and payload (JSON) of results; fields that a result lacks are null."""
+    """repo_id and payload (JSON) of results; fields that a result lacks are null. analysis.payloads() has all but the advisory ones."""
     fields = [(F.col(c) if c in results.columns else F.lit(None).cast("string")).alias(c) for c in PAYLOAD]
     return results.select("repo_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("payload"))
 
