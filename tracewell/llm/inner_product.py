@@ -21,6 +21,8 @@ HEAD_SHARE = 0.25
 EPS = 1e-6
 #: Share of a block's pairs from which it is multiplied as a whole.
 DENSE = 0.02
+#: Pairs of a block of queries and a band that are broadcast at most; more are joined.
+BROADCAST_ROWS = 100_000
 
 
 def _vectors(df: DataFrame, id_: str, vector: str) -> DataFrame:
@@ -107,9 +109,9 @@ def top_products(df: DataFrame, *, id_: str = "vec_id", vector: str = "embedding
     """For each row whose id is divisible by `queries`: its k largest whole-number inner products with the other rows.
 
     Returns query_id, rank (int, from 1), vec_id, score (long); all others if they are fewer than k; ties go to smaller ids. Vectors
-    that are null, empty or hold null or non-finite components, and rows with a null id, take no part; nor do vectors of another
-    length than the first. Repeated rows are candidates of their own, but a query's own id never is its candidate. An empty
-    table gives an empty one. Products are exact as long as they stay under 2**53.
+    that are null, empty or hold null or non-finite components, and rows with a null id, take no part. Shorter vectors count as if zeros
+    followed. Repeated rows are candidates of their own, but a query's own id never is its candidate; of a query id with
+    different vectors the smallest vector, component by component, asks. An empty table gives an empty one, other columns are left out. Products are exact as long as they stay under 2**53.
 
     Candidates are dealt to blocks by descending length. The block of the longest gives each query a score that k candidates
     reach; a query meets a further block only if its length times the block's largest can reach that.
@@ -121,7 +123,8 @@ def top_products(df: DataFrame, *, id_: str = "vec_id", vector: str = "embedding
     if one is None:
         return spark.createDataFrame([], out)
     dim = int(one)
-    rows = stored(rows.where(F.size("v") == dim).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, v: s + v * v))), "vectors")
+    padded = F.when(F.size("v") < dim, F.concat("v", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("v")))).otherwise(F.col("v"))
+    rows = stored(rows.withColumn("v", padded).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, v: s + v * v))), "vectors")
     # bands of candidates: ranges of the length; a band's rows are dealt by id to pieces of about CANDIDATE_BLOCK rows
     count = rows.count()
     parts = min(BANDS, max(1, -(-count // CANDIDATE_BLOCK)))
@@ -134,13 +137,14 @@ def top_products(df: DataFrame, *, id_: str = "vec_id", vector: str = "embedding
     pieces = {b: -(-r.c // CANDIDATE_BLOCK) for b, r in sizes.items()}
     n_pieces = F.element_at(F.array(*[F.lit(pieces.get(b, 1)) for b in range(max(sizes) + 1)]), F.col("band") + 1)
     cands = banded.withColumn("piece", F.pmod(F.xxhash64("id"), n_pieces).cast("int"))
-    every = rows.where(F.pmod("id", F.lit(queries)) == 0)
+    every = stored(rows.where(F.pmod("id", F.lit(queries)) == 0).groupBy("id").agg(F.min("v").alias("v")), "queries")
+    every = every.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, v: s + v * v)))
     q_blocks = max(1, -(-every.count() // QUERY_BLOCK))
     asked = every.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(q_blocks)).cast("int"))
     rotation = np.linalg.eigh(_gram(rows, dim))[1][:, ::-1].copy()  # the right singular vectors, the largest first
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        q, c = group[group["side"] == 0].drop_duplicates("id"), group[group["side"] == 1].sort_values("x", ascending=False, kind="stable")
+        q, c = group[group["side"] == 0], group[group["side"] == 1].sort_values("x", ascending=False, kind="stable")
         if not len(q) or not len(c):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         low = q["x"].to_numpy(float)
@@ -152,7 +156,10 @@ def top_products(df: DataFrame, *, id_: str = "vec_id", vector: str = "embedding
         left = q.select("block", F.explode("bands").alias("band"), "id", "v", "low")
         n = F.element_at(F.array(*[F.lit(pieces.get(b, 1)) for b in range(max(sizes) + 1)]), F.col("band") + 1)
         left = left.select("block", "band", F.explode(F.sequence(F.lit(0), n - 1)).alias("piece"), F.lit(0).alias("side"), "id", "v", F.col("low").alias("x"))
-        right = c.select(F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("block"), "band", "piece", F.lit(1).alias("side"), "id", "v", F.col("norm").alias("x"))
+        # candidates go to the blocks that have a query which reaches their band, and to no other
+        need = stored(q.select("block", F.explode("bands").alias("band")).distinct(), "needs")
+        need = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
+        right = c.join(need, "band").select("block", "band", "piece", F.lit(1).alias("side"), "id", "v", F.col("norm").alias("x"))
         return left.unionByName(right).groupBy("block", "band", "piece").applyInPandas(compare, "query_id long, vec_id long, score long")
 
     top = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

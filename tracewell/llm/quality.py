@@ -21,6 +21,8 @@ MAX_REPEAT_PERCENT = 50
 #: Labelled rows that a fit takes at most, chosen by a hash of doc_id.
 FIT_ROWS = 20_000
 BATCH_BYTES = 1 << 20
+#: Names that columns of docs are unlikely to have.
+_ID, _Y = "_quality_id_9e27", "_quality_label_9e27"
 
 
 def text_stats(texts: list[bytes]) -> np.ndarray:
@@ -202,17 +204,20 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, *, max_rules: int = 12, max
 def fit(stats: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS, doc_id: str = "doc_id", quality: str = "quality", **options) -> DecisionList:
     """Learn a list from the rows of stats that labels has, at most `rows` of them (the smallest hashes of doc_id).
 
-    Null labels and ids are left out. The sample is joined before the statistics are needed, and only it reaches the driver.
+    Null labels and ids are left out; of several labels of one id the lowest holds. The sample is joined before the statistics are needed, and only it reaches the driver.
     """
-    y = labels.select(F.col(doc_id).alias("_id"), F.col(quality).cast("int").alias("_y")).dropna().dropDuplicates(["_id"])
-    sample = stats.join(y, stats[doc_id] == y["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    got = sample.selectExpr("_y", *(f"cast({e} as double) as `{f}`" for f, e in FEATURES.items())).toPandas()
+    y = labels.select(F.col(doc_id).alias(_ID), F.col(quality).cast("int").alias(_Y)).dropna().groupBy(_ID).agg(F.min(_Y).alias(_Y))
+    sample = stats.join(y, stats[doc_id] == y[_ID]).orderBy(F.xxhash64(_ID), _ID, *STATS).limit(rows)
+    got = sample.selectExpr(f"{_Y} as _y", *(f"cast({e} as double) as `{f}`" for f, e in FEATURES.items())).toPandas()
     x = {f: got[f].to_numpy(float) for f in FEATURES}
     return learn(x, got["_y"].to_numpy() == 0, **options)
 
 
 def judged(docs: DataFrame, labels: DataFrame, text: str = "text", **options) -> DataFrame:
-    """docs with STATS, base_failed, rule (number of the rule that rejects it, 0 for none) and kept."""
+    """docs with STATS, base_failed, rule (number of the rule that rejects it, 0 for none) and kept; such columns are replaced, all others stay.
+
+    Null and empty texts have no words and fail the base rules; repeated rows are judged alike; an empty table gives an empty one.
+    """
     sampled = with_stats(labelled_sample(docs, labels, options.get("rows", FIT_ROWS)), text)
     rules = fit(sampled, labels, **options)
     out = with_stats(docs.drop("base_failed", "rule", "kept"), text)
@@ -222,7 +227,7 @@ def judged(docs: DataFrame, labels: DataFrame, text: str = "text", **options) ->
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, doc_id: str = "doc_id") -> DataFrame:
     """The documents among the `rows` labelled ids of the smallest hashes: a bounded set of ids, so it may be broadcast."""
-    ids = labels.select(F.col(doc_id).alias("_id")).dropna().distinct().orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    return docs.join(F.broadcast(ids), docs[doc_id] == ids["_id"], "left_semi")
+    ids = labels.select(F.col(doc_id).alias(_ID)).dropna().distinct().orderBy(F.xxhash64(_ID), _ID).limit(rows)
+    return docs.join(F.broadcast(ids), docs[doc_id] == ids[_ID], "left_semi")
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 
 #: Scratch folders of this process by owner, so that a finished owner's folders can be removed.
 _FOLDERS: dict[str, list[str]] = {}
-_OWNER = ["query"]
+#: Whose scratch folders are made now. Threads have contexts of their own, so their runs don't touch each other's folders.
+_OWNER: ContextVar[str] = ContextVar("owner", default="query")
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -31,7 +34,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: the lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tracewell/{name}-{uuid.uuid4().hex}"
-    _FOLDERS.setdefault(_OWNER[0], []).append(path)
+    _kept(spark, path)
     with no_shuffle_left(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -52,7 +55,7 @@ def no_shuffle_left(spark: SparkSession):
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder for files that an operator writes itself."""
     path = f"{scratch_root(spark)}/tracewell/{name}-{uuid.uuid4().hex}"
-    _FOLDERS.setdefault(_OWNER[0], []).append(path)
+    _kept(spark, path)
     return path
 
 
@@ -63,9 +66,22 @@ def remove(spark: SparkSession, owner: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _kept(spark: SparkSession, path: str) -> None:
+    """Remember a folder: its owner may remove it, and what is left goes when the driver's process ends."""
+    if not _FOLDERS:
+        atexit.register(_end, spark)
+    _FOLDERS.setdefault(_OWNER.get(), []).append(path)
+
+
+def _end(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        for owner in list(_FOLDERS):
+            remove(spark, owner)
+
+
 def owned_by(owner: str) -> None:
-    """Scratch folders made from now on belong to this owner."""
-    _OWNER[0] = owner
+    """Scratch folders that this thread makes from now on belong to this owner."""
+    _OWNER.set(owner)
 
 
 def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
