@@ -7,6 +7,9 @@ are removed when the next stage begins.
 
 from __future__ import annotations
 
+import uuid
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +21,15 @@ SIMILARITY_PERCENT = 80
 PASSAGE_WORDS, PASSAGE_BYTES = 50, 200
 
 
+#: A name for this thread's run, so that runs side by side keep their scratch tables apart.
+_RUN: ContextVar[str | None] = ContextVar("run", default=None)
+
+
 def _begin(spark: SparkSession) -> None:
-    shared.remove(spark, "pipeline")
-    shared.owned_by("pipeline")
+    if _RUN.get() is None:
+        _RUN.set(f"pipeline-{uuid.uuid4().hex}")
+    shared.remove(spark, _RUN.get())
+    shared.owned_by(_RUN.get())
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,6 +88,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = stage(spark, docs, sf_dir)
         shared.owned_by("results")
         docs = shared.stored(out, f"stage-{k}-{name}")
-    shared.remove(spark, "pipeline")
+    shared.remove(spark, _RUN.get())
     shared.owned_by("query")
     return docs
