@@ -479,3 +479,6 @@ def timeline_span(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"{_SIGNALS} SELECT repo_id, signal, value, contribution FROM (SELECT repo_id, 'clone_similarity' AS signal, {_R4.format('clone_similarity')} AS value, {_R4.format('clone_similarity * 0.45')} AS contribution FROM vd UNION ALL SELECT repo_id, 'registry_match', {_R4.format('registry_match')}, {_R4.format('registry_match * 0.2')} FROM vd UNION ALL SELECT repo_id, 'readme_consistency', {_R4.format('readme_consistency')}, {_R4.format('readme_consistency * 0.2')} FROM vd UNION ALL SELECT repo_id, 'commit_forensics', {_R4.format('commit_forensics')}, {_R4.format('commit_forensics * 0.15')} FROM vd)")
 def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.contributions(_scored(spark, sf_dir)).select("repo_id", "signal", round4(F.col("value")).alias("value"), round4(F.col("contribution")).alias("contribution"))
+
+
+from . import catalog_files  # noqa: E402,F401  its queries register themselves
