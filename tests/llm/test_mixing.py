@@ -57,3 +57,19 @@ def test_targets_and_takings(spark):
 def test_all_empty_texts(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert [(g["size"], g.taken, g.target) for g in mixing.mix(df).collect()] == [(0, 0, 0.0)] * 2
+
+
+def test_chances_grow_with_the_size(spark):
+    """Of a source that gives half a copy more, long documents are taken again more often, and the words still meet the target."""
+    rows = [(i, " ".join(["w"] * (4 if i % 2 else 64)), "a") for i in range(3000)] + [(9000 + i, "w " * 30, "b") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [r for r in mixing.allocation(df).collect() if r.doc_id < 9000]
+    target, size = got[0].target, got[0].source_size
+    sure = int(target / size)
+    fraction = target / size - sure
+    extra = {n: [r.copies - sure for r in got if r["size"] == n] for n in (4, 64)}
+    rate = {n: sum(x) / len(x) for n, x in extra.items()}
+    assert all(set(x) <= {0, 1} for x in extra.values()) and rate[4] < fraction < rate[64] + 0.02
+    # chances go with the square root of the size class: 64 has 7 bits and 4 has 3
+    assert rate[64] / rate[4] == pytest.approx(4, rel=0.3)
+    assert abs(sum(r.taken for r in got) - target) <= 64

@@ -74,3 +74,24 @@ def test_estimate_is_near_the_truth():
         b = np.unique(np.r_[a[g.permutation(len(a))[: int(len(a) * share)]], g.integers(0, 2**64, int(len(a) * (1 - share)), dtype=np.uint64)])
         truth = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         assert abs(nd.estimate(nd.registers(a, 40), nd.registers(b, 40)[None])[0] - truth) < 0.12
+
+
+def test_correction_removes_the_bias():
+    """Registers of few bits agree by chance; without the correction estimates would be too high by (1 - truth) * chance."""
+    g = np.random.default_rng(2)
+    bits, errors = 2, []
+    for _ in range(60):
+        a = np.unique(g.integers(0, 2**64, 3000, dtype=np.uint64))
+        b = np.unique(np.r_[a[g.permutation(len(a))[:1500]], g.integers(0, 2**64, 1500, dtype=np.uint64)])
+        truth = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        errors.append(nd.estimate(nd.registers(a, 40, bits), nd.registers(b, 40, bits)[None], bits)[0] - truth)
+    chance = 2.0**-bits / 3
+    assert abs(np.mean(errors)) < 0.015 < (1 - 1 / 3) * chance / 2
+
+
+def test_keys_hold_enough_bits():
+    for t in (0.8, 0.85):
+        for lower, bands in zip(nd.BOUNDS, nd.classes(t), strict=True):
+            filled = nd.PER_BAND * (1 - np.exp(-lower / (bands * nd.PER_BAND)))
+            assert nd.mantissa(lower, bands) == nd.MOST_MANTISSA or nd.mantissa(lower, bands) * filled >= nd.KEY_BITS - 1e-6
+    assert nd.mantissa(100_000, 40) == nd.LEAST_MANTISSA

@@ -32,13 +32,15 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """
     clean = lambda e: e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     state = stored(clean(edges), "edges")
+    n = state.count()
     mark = None
     for _ in range(rounds):
-        state = stored(clean(_small_star(clean(_large_star(state)))), "edges")
+        # a round has two links at most for each that there was: a node's own, and the one that it hands on
+        state = stored(clean(_small_star(clean(_large_star(state)))), "edges", 2 * n)
         now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
-        mark = now
+        mark, n = now, now[0]
     else:
         raise RuntimeError("components didn't settle")
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

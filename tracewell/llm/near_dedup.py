@@ -368,10 +368,10 @@ def _prefixes(cand: DataFrame, numerator: int, denominator: int) -> DataFrame:
     return stored(ranked.select("node", F.explode(F.expr("slice(s.x, 1, k)")).alias("x")), "prefixes")
 
 
-def _met(prefix: DataFrame) -> DataFrame:
-    """(node, cluster, family) of rows (node, cluster, x) whose x joins different clusters; family: the clusters that so hang together."""
+def _met(prefix: DataFrame, n: int) -> DataFrame:
+    """(node, cluster, x, family) of rows (node, cluster, x) whose x joins different clusters; family: the clusters that so hang together."""
     heads = prefix.groupBy("x").agg(F.min("cluster").alias("head"), F.max("cluster").alias("last")).where("head < last").select("x", "head")
-    open_ = stored(prefix.join(heads, "x").select("node", "cluster", "head", "x"), "open")
+    open_ = stored(prefix.join(heads, "x").select("node", "cluster", "head", "x"), "open", n)
     family = components(open_.where("cluster <> head").select(F.col("cluster").alias("u"), F.col("head").alias("v")))
     return open_.select("node", "cluster", "x").join(family.select(F.col("node").alias("cluster"), F.col("component").alias("family")), "cluster")
 
@@ -392,10 +392,11 @@ def _links(cand: DataFrame, numerator: int, denominator: int) -> DataFrame:
     prefix = _prefixes(cand, numerator, denominator).withColumn("cluster", F.col("node"))
     found: list[DataFrame] = []
     for star in range(STARS + 1):
-        met = stored(_met(prefix), "met")
-        sized = stored(met.groupBy("node", "cluster", "family").agg(F.count("*").alias("shared")).join(cand.select("node", "n").distinct(), "node"), "families")
+        n = prefix.count()
+        met = stored(_met(prefix, n), "met", n)
+        sized = stored(met.groupBy("node", "cluster", "family").agg(F.count("*").alias("shared")).join(cand.select("node", "n").distinct(), "node"), "families", n)
         total = sized.groupBy("family").agg(F.sum("n").alias("all_n"), F.count("*").alias("docs"))
-        large = stored(total.where((F.col("all_n") > BLOCK_SHINGLES) | (F.col("docs") > BLOCK_DOCS)).select("family", "docs"), "large")
+        large = stored(total.where((F.col("all_n") > BLOCK_SHINGLES) | (F.col("docs") > BLOCK_DOCS)).select("family", "docs"), "large", 0)
         small = sized.join(large, "family", "left_anti").select("node", F.col("family"), F.lit("").alias("block"), F.lit(0).alias("side"))
         if is_empty(large):
             found.append(checked(small))
@@ -415,7 +416,7 @@ def _links(cand: DataFrame, numerator: int, denominator: int) -> DataFrame:
         name = components(tied.unionByName(rest.where("node <> cluster").select(F.col("node").alias("u"), F.col("cluster").alias("v"))))
         left = met.join(large, "family", "left_semi").select("node", "cluster", "x")
         prefix = left.join(name, "node", "left").select("node", F.coalesce("component", "cluster").alias("cluster"), "x")
-        prefix = stored(prefix, "prefixes")
+        prefix = stored(prefix, "prefixes", n)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, inner_product, licences, mixing, near_dedup, packing, quality, repeats, token_counts, token_store
+from . import chat, inner_product, licences, mixing, near_dedup, packing, quality, repeats, shared, token_counts, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return shared.modest(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

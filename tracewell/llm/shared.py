@@ -30,9 +30,28 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: the lineage ends there, and a lost executor loses nothing."""
+#: Rows of a small scratch table's file: tables of ids and links need few files.
+FILE_ROWS = 100_000
+#: Rows of an Arrow batch where the session has Spark's default of 10,000, which long texts make large.
+BATCH_ROWS = "1000"
+
+
+def modest(spark: SparkSession) -> SparkSession:
+    """Let texts go to Python in smaller batches, unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+    return spark
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: the lineage ends there, and a lost executor loses nothing.
+
+    rows: how many there are at most, if that is known; they go to as many files as so many rows fill.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = f"{scratch_root(spark)}/tracewell/{name}-{uuid.uuid4().hex}"
     _kept(spark, path)
     with no_shuffle_left(spark):

@@ -10,7 +10,7 @@ import numpy as np
 from .shared import mixed
 
 #: Pre-tokens and ids that a worker remembers.
-MOST_PARTS, MOST_IDS = 800_000, 8_000_000
+MOST_PARTS, MOST_IDS = 400_000, 4_000_000
 #: Pre-tokens of so many bytes at most are keyed by their bytes as two 64-bit numbers; longer ones by a dictionary.
 SHORT = 16
 WHITE, LETTER, NUMBER, OTHER, ODD = range(5)
