@@ -30,6 +30,7 @@ def _begin(spark: SparkSession) -> None:
         _RUN.set(f"pipeline-{uuid.uuid4().hex}")
     shared.remove(spark, _RUN.get())
     shared.owned_by(_RUN.get())
+    shared.modest(spark)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
