@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import analysis
 from ..functions import paths, pycode
-from ..operators import advisory, clone, evidence, forensics, ingest, minhash, readme
+from ..operators import advisory, clone, evidence, forensics, ingest, minhash, readme, retrieval
 from . import catalog
 from .catalog import _R4, _READ, _STOPSQL, _query, _readmes, table
 
@@ -225,3 +225,8 @@ def matched_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = mine.select(F.lit("r").alias("repo_id"), F.lit("r").alias("slug"), F.col("doc_id").alias("path"), (F.col("doc_id") + 1).alias("other"), F.lit(1.0).alias("logic"))
     spans = evidence.matched_files(best, files(mine, "repo_id"), files(theirs, "slug"))
     return spans.where("span[0] > 0").select(F.col("path").alias("doc_id"), F.col("span")[0].cast("long").alias("first_line"), F.col("span")[1].cast("long").alias("last_line"))
+
+
+@_query(f"WITH {catalog._WINDOWS} SELECT repo_id, citation, row_number() OVER (PARTITION BY repo_id ORDER BY path, start_line) AS place FROM ch")
+def chunk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.numbered(catalog._chunks(spark, sf_dir)).select("repo_id", "citation", F.col("place").cast("long").alias("place"))
