@@ -81,8 +81,10 @@ def retrieval_terms(text: Column, split_identifiers: bool = True) -> Column:
     def terms(w: Column) -> Column:
         if not split_identifiers:
             return F.array(F.lower(w))
-        parts = F.regexp_extract_all(w, F.lit(r"([A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+)"), 1)
-        return F.when(F.size(parts) > 1, F.concat(F.array(F.lower(w)), F.transform(parts, lambda p: F.lower(p)))).otherwise(F.array(F.lower(w)))
+        found = F.regexp_extract_all(w, F.lit(r"([A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+)"), 1)
+        several = bound(found, lambda parts: F.when(F.size(parts) > 1, F.concat(F.array(F.lower(w)), F.transform(parts, lambda p: F.lower(p)))).otherwise(F.array(F.lower(w))))
+        # most words are one part: a letter and lower-case ones
+        return F.when(w.rlike("^[A-Za-z][a-z]*$"), F.array(F.lower(w))).otherwise(several)
 
     return F.filter(F.flatten(F.transform(words, terms)), lambda t: (F.length(t) >= 2) & ~t.isin(*STOP_TERMS))
 

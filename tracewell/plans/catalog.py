@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..functions.text import count_loc, round4, shingles, word_tokens
 from ..operators import clone, evaluation, forensics, ingest, jobs, minhash, readme, retrieval, scoring, similarity
+from ..sources.staging import staged
+from ..sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,10 +31,6 @@ def _query(sql: str):
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # Pieces of SQL that several statements share.
 _R4 = "floor(({})::DOUBLE * 10000 + 0.5::DOUBLE) / 10000.0::DOUBLE"
 _LINES = "string_split(regexp_replace(text, '\\n$', ''), chr(10))"
@@ -101,7 +99,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY jaccard DESC, othe
 
 def _submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = minhash.minima(table(spark, sf_dir, "documents"), ["source"])
-    return minhash.merged(m, "source").select(F.col("source").alias("slug"), F.lit("").alias("owner"), "signature")
+    return staged(minhash.merged(m, "source").select(F.col("source").alias("slug"), F.lit("").alias("owner"), "signature"), "submissions")
 
 
 @_query(f"{_NEAR} SELECT * FROM r WHERE rank <= 5")
