@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import tables
 from . import chat, inner_product, licences, mixing, near_dedup, packing, quality, repeats, shared, token_counts, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return shared.modest(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return tables.table(shared.modest(spark), sf_dir, name)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
