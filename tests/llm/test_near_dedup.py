@@ -73,20 +73,23 @@ def test_estimate_is_near_the_truth():
     for share in (0.3, 0.6, 0.9):
         b = np.unique(np.r_[a[g.permutation(len(a))[: int(len(a) * share)]], g.integers(0, 2**64, int(len(a) * (1 - share)), dtype=np.uint64)])
         truth = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-        assert abs(nd.estimate(nd.registers(a, 40), nd.registers(b, 40)[None])[0] - truth) < 0.12
+        assert abs(nd.estimate(nd.registers(a, 40), nd.registers(b, 40)[None], len(a), np.array([len(b)]))[0] - truth) < 0.12
 
 
-def test_correction_removes_the_bias():
+@pytest.mark.parametrize("n", [400, 3000, 30000])
+def test_correction_removes_the_bias(n):
     """Registers of few bits agree by chance; without the correction estimates would be too high by (1 - truth) * chance."""
-    g = np.random.default_rng(2)
-    bits, errors = 2, []
-    for _ in range(60):
-        a = np.unique(g.integers(0, 2**64, 3000, dtype=np.uint64))
-        b = np.unique(np.r_[a[g.permutation(len(a))[:1500]], g.integers(0, 2**64, 1500, dtype=np.uint64)])
+    g = np.random.default_rng(n)
+    bits, plain, corrected = 2, [], []
+    for _ in range(150):
+        a = np.unique(g.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.r_[a[g.permutation(len(a))[: n // 2]], g.integers(0, 2**64, n // 2, dtype=np.uint64)])
         truth = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-        errors.append(nd.estimate(nd.registers(a, 40, bits), nd.registers(b, 40, bits)[None], bits)[0] - truth)
-    chance = 2.0**-bits / 3
-    assert abs(np.mean(errors)) < 0.015 < (1 - 1 / 3) * chance / 2
+        x, y = nd.registers(a, 40, bits), nd.registers(b, 40, bits)
+        some = (x != nd.EMPTY) | (y != nd.EMPTY)
+        plain.append(((x == y) & some).sum() / some.sum() - truth)
+        corrected.append(nd.estimate(x, y[None], len(a), np.array([len(b)]), bits)[0] - truth)
+    assert abs(np.mean(corrected)) < 0.01 < 0.02 < np.mean(plain)
 
 
 def test_keys_hold_enough_bits():

@@ -97,16 +97,30 @@ def registers(hashes: np.ndarray, bands: int, bits: int = SKETCH_MANTISSA) -> np
     return out
 
 
-def estimate(a: np.ndarray, b: np.ndarray, bits: int = SKETCH_MANTISSA) -> np.ndarray:
-    """Jaccard estimates between one sketch and many (rows of b), corrected for registers that agree by chance.
+_OCTAVES = 2.0 ** -np.arange(56)
 
-    Two different minima agree in leading zeros and mantissa with a chance of about 2**-bits / 3 (the sum over leading zeros
-    of the squared share of one mantissa value).
+
+def agreement(n: float, m: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    """Chance that registers of different minima agree, for sets of n and (each of) m hashes dealt to so many buckets.
+
+    With x hashes to a bucket the minimum lies in the octave below 2**-k with a chance of exp(-x / 2**(k + 1)) - exp(-x / 2**k),
+    and there it has one of 2**bits mantissas.
     """
-    some = (a != EMPTY) | (b != EMPTY)
-    same = ((a == b) & some).sum(axis=-1) / np.maximum(some.sum(axis=-1), 1)
-    chance = 2.0**-bits / 3
-    return np.clip((same - chance) / (1 - chance), 0, 1)
+
+    def share(x: np.ndarray) -> np.ndarray:
+        x = np.maximum(np.asarray(x, float), 1e-9)[..., None] / buckets
+        return (np.exp(-x * _OCTAVES / 2) - np.exp(-x * _OCTAVES)) / -np.expm1(-x)
+
+    return (share(n) * share(m)).sum(axis=-1) * 2.0**-bits
+
+
+def estimate(a: np.ndarray, b: np.ndarray, n: float, m: np.ndarray, bits: int = SKETCH_MANTISSA) -> np.ndarray:
+    """Jaccard estimates between the sketch of a set of n hashes and others (rows of b) of m, corrected for registers that agree by chance."""
+    some, both = (a != EMPTY) | (b != EMPTY), (a != EMPTY) & (b != EMPTY)
+    chance = agreement(n, m, a.shape[-1], bits)
+    # of the registers that both have filled, those of different minima agree by chance
+    same = (((a == b) & both).sum(axis=-1) - chance * both.sum(axis=-1)) / (1 - chance)
+    return np.clip(same / np.maximum(some.sum(axis=-1), 1), 0, 1)
 
 
 def single_keys(hashes: np.ndarray, t: float) -> np.ndarray:
@@ -234,7 +248,7 @@ def linked(flat: np.ndarray, size: np.ndarray, side: np.ndarray, numerator: int,
             large = size[found] >= ESTIMATE_FROM
             likely = np.ones(len(found), bool)
             if large.any():
-                likely[large] = estimate(regs[i], np.array([regs[j] for j in found[large].tolist()])) >= t - ESTIMATE_SLACK
+                likely[large] = estimate(regs[i], np.array([regs[j] for j in found[large].tolist()]), size[i], size[found[large]]) >= t - ESTIMATE_SLACK
             found = found[likely]
         mine = flat[start[i] : start[i + 1]]
         for j in found.tolist():
