@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import tables
-from . import chat, inner_product, licences, mixing, near_dedup, packing, quality, repeats, shared, token_counts, token_store
+from . import chat, inner_product, licences, mixing, near_dedup, packing, periods, quality, repeats, reputation, resampling, shared, token_counts, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,42 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removal_digest(_table(spark, sf_dir, "documents")).drop("removed")
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; every tenth document by the CRC of its id repeats a stretch of its own words from one of them on to its end."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.filter(F.split("text", "[ \t-\r]+"), lambda w: w != "")
+    g, n = F.floor(h / 10).cast("long"), F.size("_w").cast("long")
+    a = F.expr("_g % _n")
+    p = F.expr("1 + (_n - _a) div (3 + _g % 8)")
+    told = docs.select("doc_id", "text", h.alias("_h"), g.alias("_g"), F.when((h % 10 == 0) & F.col("doc_id").isNotNull(), words).alias("_w"))
+    told = told.withColumn("_n", n).withColumn("_a", a).withColumn("_p", p)
+    again = F.expr("concat_ws(' ', transform(sequence(0L, _n - 1), i -> element_at(_w, cast(if(i < _a, i, _a + (i - _a) % _p) + 1 as int))))")
+    return told.select("doc_id", F.when(F.size("_w") > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periods.with_runs(_with_planted_runs(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.expr("array_min(transform(runs, r -> struct(-r.length as l, r.start as s, r.period as p)))")
+    lines = F.expr("array_join(transform(runs, r -> concat_ws(',', r.start, r.length, r.period)), '\n')")
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("").alias("lines"), "collapsed")
+    milli = F.expr("(1000 * -b.l) div b.p")
+    return out.select("doc_id", "n_runs", F.col("b.s").alias("start"), (-F.col("b.l")).alias("length"), F.col("b.p").alias("period"), milli.alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+#: The rules of the query.
+RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op13_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label of low quality is a bad outcome of the page whose id it has."""
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
+    return reputation.judged(_table(spark, sf_dir, "pages"), labels, RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_source_mix": op2_source_mix,
@@ -81,4 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licence_scan": op8_licence_scan,
     "op9_token_store": op9_token_store,
     "op10_repeated_passages": op10_repeated_passages,
+    "op11_importance_resample": op11_importance_resample,
+    "op12_word_runs": op12_word_runs,
+    "op13_host_reputation": op13_host_reputation,
 }

@@ -5,7 +5,13 @@ The others have none: token counts (3), packing (7) and the token store (9) need
 """
 
 _WORD = r"[^\x20\x09-\x0D]+"
+_FEATURE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Labelled pages that a prior is worth, from groups with n, k and the prior mean up.
+_STRENGTH = "1 / least(greatest(coalesce(sum(pow(k - n * up, 2) - n * up * (1 - up)) / nullif(sum(n * (n - 1) * up * (1 - up)), 0), 0.1::DOUBLE), 0.001::DOUBLE), 0.5::DOUBLE) - 1"
 _ESC = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;'), '|', '&vert;')"
+#: CRC-32 of a list of bytes, a bit at a time.
+_CRC = "xor(list_reduce([4294967295::BIGINT] || {}, lambda s, b: list_reduce([xor(s, b)] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)), 4294967295)"
+_BYTES = "list_transform(range(1, 2 * octet_length(encode({0})), 2), lambda i: ('0x' || substr(hex(encode({0})), i, 2))::BIGINT)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE: dict[str, str] = {
@@ -58,4 +64,45 @@ part AS (SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) + 1 AS a
 kept AS (SELECT r, list_reduce(list(CASE WHEN part.a > part.z THEN ''::BLOB ELSE b[part.a:part.z] END ORDER BY part.a), lambda x, y: x || y) AS k FROM part JOIN d USING (r) GROUP BY r)
 SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(coalesce(k, b)) AS kept_sha256
 FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)""",
+    "op11_importance_resample": f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_FEATURE}') AS w FROM documents),
+f AS MATERIALIZED (SELECT r, word, count(*) AS n FROM (SELECT r, unnest(w) AS word FROM d) GROUP BY ALL),
+g AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_FEATURE}')) AS word FROM benchmark) GROUP BY ALL),
+b AS MATERIALIZED (SELECT word, {_CRC.format(_BYTES.format("word"))} % 10000 AS bucket FROM (SELECT word FROM f UNION SELECT word FROM g)),
+s AS (SELECT bucket, sum(n) AS s FROM f JOIN b USING (word) GROUP BY 1),
+t AS (SELECT bucket, sum(n) AS t FROM g JOIN b USING (word) GROUP BY 1),
+x AS MATERIALIZED (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain FROM s FULL JOIN t USING (bucket)),
+w AS (SELECT r, floor(sum(n * gain) / sum(n)::DOUBLE)::BIGINT AS weight FROM f JOIN b USING (word) JOIN x USING (bucket) GROUP BY r),
+c AS (SELECT doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN w USING (r)),
+o AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) FILTER (n_features >= 20) OVER () AS many FROM c)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * many // 100 THEN place END AS rank FROM o""",
+    "op12_word_runs": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w, {_CRC.format("list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)")} AS h FROM documents),
+p AS (SELECT *, len(w) AS n, h // 10 AS g, (h // 10) % greatest(len(w), 1) AS a FROM d),
+m AS MATERIALIZED (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w FROM p),
+k AS MATERIALIZED (SELECT r, i, hash(w[i + 1:i + 5]) AS k FROM (SELECT r, w, unnest(range(n - 4)) AS i FROM m WHERE n > 4)),
+e AS (SELECT x.r, y.i - x.i AS q, x.i FROM k x JOIN k y ON x.r = y.r AND x.k = y.k AND x.i < y.i JOIN m ON m.r = x.r AND 4 * (y.i - x.i) <= m.n),
+l AS (SELECT r, q, min(i) AS start, count(*) + 4 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS isle FROM e) GROUP BY r, q, isle),
+u AS MATERIALIZED (SELECT r, start, length, min(q) AS q FROM l WHERE length >= greatest(6, 4 * q) GROUP BY r, start, length),
+a AS (SELECT r, count(*) AS n_runs, min((-length, start, q)) AS best, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM u GROUP BY r),
+o AS (SELECT DISTINCT r, unnest(range(start + q, start + length)) AS i FROM u),
+c AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM (SELECT r, unnest(w) AS word, unnest(range(n)) AS i FROM m SEMI JOIN u USING (r)) ANTI JOIN o USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best[2] AS start, -best[1] AS length, best[3] AS period, 1000 * -best[1] // best[3] AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, array_to_string(w, ' '))) AS collapsed_sha256
+FROM m LEFT JOIN a USING (r) LEFT JOIN c USING (r)""",
+    "op13_host_reputation": f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS MATERIALIZED (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+o AS (SELECT doc_id AS page_id, count(*) AS n, count(*) FILTER (quality = 0) AS k FROM labels WHERE quality IS NOT NULL GROUP BY 1),
+h AS MATERIALIZED (SELECT host, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(k), 0)::DOUBLE AS k, string_split(host, '.') AS l FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+z AS MATERIALIZED (SELECT *, CASE WHEN len(l) > 1 AND length(l[-1]) = 2 AND l[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN 2 ELSE 1 END AS two FROM h),
+g AS MATERIALIZED (SELECT host, n, k, array_to_string(l[-two:], '.') AS suffix, array_to_string(l[-two - 1:], '.') AS domain FROM z),
+s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 0.1::DOUBLE) / (sum(n) + 1) FROM g) AS up FROM g GROUP BY 1),
+s1 AS (SELECT {_STRENGTH} AS st FROM s0), s AS (SELECT suffix, (up * st + k) / (st + n) AS up FROM s0, s1),
+d0 AS (SELECT domain, sum(n) AS n, sum(k) AS k, any_value(up) AS up FROM g JOIN s USING (suffix) GROUP BY domain),
+d1 AS (SELECT {_STRENGTH} AS st FROM d0), d AS (SELECT domain, (up * st + k) / (st + n) AS up FROM d0, d1),
+h0 AS (SELECT host, n, k, up FROM g JOIN d USING (domain)), h1 AS (SELECT {_STRENGTH} AS st FROM h0),
+e AS (SELECT host, n, m - 1.645::DOUBLE * sqrt(m * (1 - m) / (st + n + 1)) AS bound FROM (SELECT host, n, st, (up * st + k) / (st + n) AS m FROM h0, h1)),
+v(rule, verdict) AS (VALUES ('org/', 'allow'), ('example.org/es/', 'block'), ('example.org/en/1', 'block'), ('com/fr/', 'allow'), ('com/de/', 'block')),
+f AS (SELECT host, path, arg_max((rule, verdict), length(rule)) AS r FROM (SELECT DISTINCT host, path FROM p) JOIN v ON (host = split_part(rule, '/', 1) OR suffix(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/'))) GROUP BY ALL)
+SELECT page_id, host, path, r[1] AS rule, coalesce(r[2], CASE WHEN bound > 0.2::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict, n::BIGINT AS n_labelled, round(bound, 6) AS bad_bound FROM p JOIN e USING (host) LEFT JOIN f USING (host, path)""",
 }
