@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.text import count_loc, round4, shingles, word_tokens
-from ..operators import clone, evaluation, forensics, ingest, jobs, minhash, readme, retrieval, scoring, similarity
+from ..operators import clone, evaluation, forensics, ingest, jobs, minhash, readme, retrieval, scoring, setjoin, similarity
 from ..sources.staging import staged
 from ..sources.tables import table
 
@@ -172,6 +172,20 @@ def logic_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _similar(spark, sf_dir).withColumnsRenamed({"a": "doc_id", "b": "item_id"})
 
 
+# each with each: runs of all documents and items that have a token in common, five-grams of those that have one
+_EACH = f"""WITH {_SIDES}, {_jac_sql(5)}, {_jac_sql(3)}, {_RUN.replace("j5 JOIN lp ON lp.id = a JOIN rp ON rp.id = b AND rp.w = lp.w", "(SELECT lp.id AS a, rp.id AS b, i, j FROM lp JOIN rp USING (w))")},
+lo AS (SELECT best.a, best.b, {_R4.format("0.6 * coalesce(j5.jaccard, 0) + 0.4 * run_ratio")} AS logic FROM best LEFT JOIN j5 USING (a, b)),
+pp AS MATERIALIZED (SELECT * FROM lo WHERE logic >= 0.3), {_MULTI.replace("j5", "pp")}
+SELECT pp.a AS doc_id, pp.b AS item_id, logic, {_R4.format("0.5 * multiset + 0.5 * coalesce(j3.jaccard, 0)")} AS structural FROM pp JOIN multi USING (a, b) LEFT JOIN j3 USING (a, b)"""
+
+
+@_query(_EACH)
+def logic_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and item of logic 0.3 or more."""
+    found = setjoin.similar(_tokens(spark, sf_dir, "documents", "doc_id"), _tokens(spark, sf_dir, "benchmark", "item_id"), clone.EVIDENCE)
+    return found.expanded().withColumnsRenamed({"a": "doc_id", "b": "item_id"})
+
+
 # candidate repositories: benchmark items by the last digit of their id; dates: the first event of a user of that number
 _BEST = f"""{_SIMILAR}, rows AS (SELECT source AS repo_id, 'bench' || (b % 5) AS slug, a AS path, b AS other, logic, structural, {_LOC} AS loc FROM sim JOIN documents ON doc_id = a),
 bf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, slug, path ORDER BY logic DESC, other) AS o FROM rows) WHERE o = 1)"""
