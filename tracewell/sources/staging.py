@@ -2,19 +2,51 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that this process has written and nobody has removed yet.
+_LEFT: list[str] = []
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df below spark.checkpoint.dir and read it back. Where that is unset (one machine) a temporary folder is set."""
-    spark = df.sparkSession
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where that is unset, a local session gets a temporary one; a cluster must name it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tracewell-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/tracewell/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write df below the shared folder and read it back. What is left goes when the driver's process ends, or by clear()."""
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/tracewell/{name}-{uuid.uuid4().hex}"
+    if not _LEFT:
+        atexit.register(_end, spark)
+    _LEFT.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Remove the tables staged after the first `since`; results that still read them must have been written."""
+    while len(_LEFT) > since:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_LEFT.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def mark() -> int:
+    """For clear(): how many tables there are now."""
+    return len(_LEFT)
+
+
+def _end(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        clear(spark)
