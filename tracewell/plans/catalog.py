@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.text import count_loc, round4, shingles, word_tokens
-from ..operators import clone, evaluation, forensics, ingest, jobs, minhash, readme, retrieval, scoring, setjoin, similarity
+from ..operators import asof, clone, evaluation, evidence, forensics, ingest, jobs, minhash, readme, retrieval, scoring, setjoin, similarity
 from ..sources.staging import staged
 from ..sources.tables import table
 
@@ -114,6 +114,25 @@ def registry_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.registry_match(s, s)
 
 
+# documents as submissions in order of their ids, sources as owners
+@_query(f"""{_SIG}, sig AS (SELECT doc_id, source, p, min((a * h + b) % 4294967291) AS m FROM h CROSS JOIN perms GROUP BY 1, 2, 3),
+j AS (SELECT x.doc_id, y.doc_id AS prior_id, {_R4.format("count(*) / 128.0")} AS jaccard FROM sig x JOIN sig y ON x.p = y.p AND x.m = y.m AND y.doc_id < x.doc_id AND x.source <> y.source GROUP BY 1, 2)
+SELECT doc_id, prior_id, jaccard FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY jaccard DESC, prior_id) AS o FROM j WHERE jaccard >= 0.5) WHERE o = 1""")
+def registry_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likest submission before each, of another owner, where they overlap by half."""
+    docs = table(spark, sf_dir, "documents")
+    s = minhash.minima(docs, ["doc_id", "source"]).select(F.col("doc_id").alias("slug"), F.col("source").alias("owner"), F.col("doc_id").alias("at"), "signature")
+    return minhash.prior(s, least=evidence.REGISTRY).select(F.col("slug").alias("doc_id"), F.col("other").alias("prior_id"), "jaccard")
+
+
+@_query("""SELECT e.event_id, max((v.ts, v.event_id))[2] AS prior_id FROM events e LEFT JOIN events v ON v.event_type = 'view' AND v.user_id = e.user_id AND (v.ts, v.event_id) < (e.ts, e.event_id) WHERE e.event_type = 'error' GROUP BY 1""")
+def prior_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest view of its user before each error."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    found = asof.latest_before(e.where("event_type = 'error'"), e.where("event_type = 'view'"), ["user_id"], "ts", ties=["event_id"])
+    return found.select("event_id", F.col("prior.event_id").alias("prior_id"))
+
+
 def _tokens(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     return table(spark, sf_dir, name).select(F.col(key).alias("id"), word_tokens(F.col("text")).alias("tokens"))
 

@@ -173,7 +173,7 @@ def creation_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT count(DISTINCT source) AS submissions FROM documents")
 def registry_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.registered(catalog._submissions(spark, sf_dir))
+    return minhash.registered(table(spark, sf_dir, "documents").select(F.col("source").alias("slug")).distinct())
 
 
 @_query("SELECT user_id AS repo_id, string_agg(substr(md5(event_id::VARCHAR), 1, 7), ',' ORDER BY strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), substr(md5(event_id::VARCHAR), 1, 7)) AS shas FROM events GROUP BY 1")
