@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -9,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import round4
-from .operators import clone, evidence, forensics, ingest, minhash, readme, scoring
+from .operators import advisory, clone, evidence, forensics, ingest, minhash, readme, scoring
+from .operators.similarity import COMPARERS
 from .sources import repos, sinks
 from .sources.staging import staged
 
@@ -20,6 +22,7 @@ SIGNALS = scoring.SIGNALS
 class Inputs:
     """repos (repo_id, repo_url, owner, repo_name), contents (repo_id, path, length, content) and commits of the repositories in question.
 
+    repos may also have created_at (timestamp): a date that is known goes before that of the first commit.
     candidates are files of repositories to compare with (slug, owner, created_at, path, language, text); pairs (repo_id, slug) say
     who is compared with whom; registry has earlier submissions (slug, owner, signature).
     """
@@ -44,6 +47,7 @@ class Results:
     timeline: DataFrame
     reports: DataFrame
     signatures: DataFrame
+    created: DataFrame
     payloads: DataFrame
 
 
@@ -60,21 +64,31 @@ def candidate_files(contents: DataFrame, about: DataFrame, commits: DataFrame |
     return files.join(about, "repo_id").select("slug", "owner", F.col("created_at").cast("timestamp").alias("created_at"), "path", "language", "text")
 
 
-def analyze(spark: SparkSession, given: Inputs, rules: scoring.Rulebook | None = None, matcher: str = "python", top_k: int = ingest.TOP_K) -> Results:
-    """All four signals, the verdicts, and what they rest on. The registry is only read here, so nobody meets their own entry."""
+def analyze(spark: SparkSession, given: Inputs, rules: scoring.Rulebook | None = None, matcher: str = "python", top_k: int = ingest.TOP_K, chat: advisory.Chat | None = None) -> Results:
+    """All four signals, the verdicts, and what they rest on. The registry is only read here, so nobody meets their own entry.
+
+    With a chat, each payload gets its explanation and questions; they are asked for when all else is written, and change nothing.
+    """
     files = staged(ingest.classified(given.contents), "files")
     files = files.join(ingest.centrality(files), ["repo_id", "path"], "left").fillna(0.0, ["import_centrality"])
     files = staged(ingest.ranked(files, top_k), "ranked")
     significant = files.where("significance_rank > 0")
     texts = significant.select("repo_id", "path", "text")
-    first = given.commits.groupBy("repo_id").agg(F.min("ts").alias("created_at"))
-    targets = significant.join(given.repos.select("repo_id", "owner"), "repo_id").join(first, "repo_id", "left")
+    known = F.col("created_at").cast("timestamp") if "created_at" in given.repos.columns else F.lit(None).cast("timestamp")
+    created = ingest.created_at(given.repos.select("repo_id", known.alias("created_at")), given.commits)
+    created = staged(created.select("repo_id", F.col("created_at").cast("timestamp").alias("created_at")), "created")
+    targets = significant.join(given.repos.select("repo_id", "owner"), "repo_id").join(created, "repo_id", "left")
     targets = staged(targets.select("repo_id", "owner", "created_at", "path", "language", "loc", "text"), "targets")
 
     history = staged(forensics.forensics(given.commits), "history")
     candidates = staged(given.candidates, "candidates") if given.candidates is not None else spark.createDataFrame([], _CANDIDATE)
-    pairs = given.pairs if given.pairs is not None else given.repos.select("repo_id").join(candidates.select("slug").distinct(), F.lit(True))
-    best, dates = clone.compared_files(targets, candidates, matcher, pairs)
+    pairs = given.pairs
+    if pairs is None:  # whole collections: who shares a gram with whom, and no more
+        least = None if matcher in COMPARERS else clone.EVIDENCE
+        best, dates = clone.compared_files(targets, candidates, matcher, least=least)
+        pairs = same_or_own(given.repos, candidates)
+    else:
+        best, dates = clone.compared_files(targets, candidates, matcher, pairs)
     best, dates = staged(best, "best"), staged(dates, "dates")
     matches = clone.match_scores(best, targets.groupBy("repo_id").agg(F.sum("loc").alias("total_loc")), dates)
     matches = staged(matches, "matches")
@@ -104,8 +118,18 @@ def analyze(spark: SparkSession, given: Inputs, rules: scoring.Rulebook | None =
     )
     facts = staged(facts, "evidence")
     reports = sinks.report(scores, facts)
-    out = Results(files, scores, facts, claims, excluded, timeline(given.commits), reports, signatures, scores)
-    return replace(out, payloads=payloads(given.repos, out, matcher))
+    advice = staged(advisory.advised(advisory.contexts(scores, facts), chat), "advice") if chat else None
+    out = Results(files, scores, facts, claims, excluded, timeline(given.commits), reports, signatures, created, scores)
+    return replace(out, payloads=payloads(given.repos, out, matcher, advice))
+
+
+def same_or_own(about: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Pairs (repo_id, slug) that the guard can leave out: equal names, and equal owners."""
+    others = candidates.select("slug", F.col("owner").alias("_o")).distinct()
+    mine = about.select("repo_id", "owner")
+    named = mine.join(others, F.col("repo_id") == F.col("slug")).select("repo_id", "slug")
+    owned = mine.where("owner <> ''").join(others, F.col("owner") == F.col("_o")).select("repo_id", "slug")
+    return named.unionByName(owned).distinct()
 
 
 def timeline(commits: DataFrame) -> DataFrame:
@@ -120,8 +144,8 @@ def _listed(df: DataFrame, name: str, order: list[str], fields: list) -> DataFra
     return df.groupBy("repo_id").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["v"]).alias(name))
 
 
-def payloads(about: DataFrame, found: Results, matcher: str) -> DataFrame:
-    """repo_id and payload: the JSON of each result, all fields always there."""
+def payloads(about: DataFrame, found: Results, matcher: str, advice: DataFrame | None = None) -> DataFrame:
+    """repo_id and payload: the JSON of each result, all fields always there; advice as from advisory.advised, if it was asked for."""
     sub = F.struct(*[F.col(s) for s in SIGNALS])
     rows = about.join(found.scores, "repo_id").select("repo_id", "repo_url", "owner", "repo_name", "verdict", F.col("composite").alias("composite_score"), sub.alias("sub_scores"), "coverage_ratio", F.col("commit_count").cast("long").alias("commit_count"), F.col("total_loc").cast("long").alias("total_loc"), F.col("compared_loc").cast("long").alias("compared_loc"), F.lit(matcher).alias("matcher"))
     parts = [
@@ -130,28 +154,35 @@ def payloads(about: DataFrame, found: Results, matcher: str) -> DataFrame:
         _listed(found.timeline, "commit_timeline", ["ts", "sha"], ["sha", "ts", "additions", "deletions", "subject"]),
         found.excluded.groupBy("repo_id").agg(F.sort_array(F.collect_list("slug")).alias("self_excluded_candidates")),
         found.reports,
+        about.select("repo_id", F.expr("cast(null as struct<review_id:string,summary:string>)").alias("ai_opinion"), F.expr("cast(null as array<struct<question:string,target:string>>)").alias("interview_probes")) if advice is None else advice,
     ]
     out = reduce(lambda a, b: a.join(b, "repo_id", "left"), parts, rows)
     for c, kind in out.dtypes:
         if kind.startswith("array"):
             out = out.withColumn(c, F.coalesce(c, F.array().cast(kind)))
-    return sinks.payload(out.withColumn("interview_probes", F.array().cast("array<string>")))
+    return sinks.payload(out)
 
 
-def of_folders(spark: SparkSession, roots: dict[str, str], candidates: dict[str, str] | None = None, registry: DataFrame | None = None) -> Inputs:
-    """Inputs from folders with their git histories: repo_id to folder, and slug to folder of the candidates, all compared with all."""
-    about = spark.createDataFrame([(k, r, *repos.named(k)) for k, r in roots.items()], "repo_id string, repo_url string, owner string, repo_name string")
+def of_folders(spark: SparkSession, roots: dict[str, str], candidates: dict[str, str] | None = None, registry: DataFrame | None = None, created: dict[str, dt.datetime | None] | None = None) -> Inputs:
+    """Inputs from folders with their git histories: repo_id to folder, and slug to folder of the candidates, all compared with all; created has dates that are known."""
+    known = created or {}
+    about = spark.createDataFrame([(k, r, *repos.named(k), known.get(k)) for k, r in roots.items()], "repo_id string, repo_url string, owner string, repo_name string, created_at timestamp")
     contents = reduce(DataFrame.unionByName, [repos.tree(spark, k, r) for k, r in roots.items()])
     given = Inputs(about, contents, repos.commits(spark, roots), registry=registry)
     if not candidates:
         return given
-    others = spark.createDataFrame([(k, k, repos.named(k)[0]) for k in candidates], "repo_id string, slug string, owner string").withColumn("created_at", F.lit(None).cast("timestamp"))
+    others = spark.createDataFrame([(k, k, repos.named(k)[0], known.get(k)) for k in candidates], "repo_id string, slug string, owner string, created_at timestamp")
     read = reduce(DataFrame.unionByName, [repos.tree(spark, k, r) for k, r in candidates.items()])
     files = candidate_files(read, others, repos.commits(spark, candidates))
     pairs = spark.createDataFrame([(a, b) for a in roots for b in candidates], "repo_id string, slug string")
     return replace(given, candidates=files, pairs=pairs)
 
 
+def claims_of(claims: DataFrame, kind: str | None = None) -> DataFrame:
+    """Claims of one type, or all; "feature", "setup_env" and "tech_stack" are the types there are."""
+    return claims if kind is None else claims.where(F.col("claim_type") == kind)
+
+
 def claim_counts(claims: DataFrame) -> DataFrame:
     """Claims by type and status."""
     return claims.groupBy("claim_type", "status").agg(F.count("*").alias("n"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,5 +60,25 @@ def reviewed(context: str, chat: Chat | None) -> tuple[str | None, list[dict]]:
         return None, []
     asked = data.get("interview_questions")
     some = [x for x in (asked if isinstance(asked, list) else []) if isinstance(x, dict) and str(x.get("question", "")).strip()]
-    told = str(data.get("summary") or "").strip() or None
+    told = str(data.get("explanation") or data.get("summary") or "").strip() or None
     return told, [{"question": str(x["question"]).strip(), "target": str(x.get("targets") or "general").strip()} for x in some]
+
+
+#: What advice adds to a result.
+ADVICE = "ai_opinion struct<review_id:string,summary:string>, interview_probes array<struct<question:string,target:string>>"
+
+
+def advised(contexts_: DataFrame, chat: Chat) -> DataFrame:
+    """repo_id, ai_opinion (null where the chat has nothing to say) and interview_probes of rows as contexts() gives them.
+
+    The chat is called once a repository, where its row is; it is sent to the executors, so it must be a function that can be
+    pickled. Whatever goes wrong with it leaves that repository without advice.
+    """
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            told = [reviewed(c, chat) for c in b["context"]]
+            opinion = [{"review_id": i, "summary": t} if t else None for i, (t, _) in zip(b["review_id"], told, strict=True)]
+            yield pd.DataFrame({"repo_id": b["repo_id"], "ai_opinion": opinion, "interview_probes": [q for _, q in told]})
+
+    return contexts_.select("repo_id", "review_id", "context").mapInPandas(ask, f"repo_id {contexts_.schema['repo_id'].dataType.simpleString()}, {ADVICE}")

@@ -18,3 +18,5 @@ class Settings:
     cache: Path = field(default_factory=lambda: _path("CACHE", "~/.cache/tracewell/clones"))
     registry: str = field(default_factory=lambda: os.environ.get("TRACEWELL_REGISTRY", ""))
     jobs: str = field(default_factory=lambda: os.environ.get("TRACEWELL_JOBS", ""))
+    #: package.module:function of a chat, (system, user) to an answer; advice is made with it, and only if it is asked for
+    chat: str = field(default_factory=lambda: os.environ.get("TRACEWELL_CHAT", ""))

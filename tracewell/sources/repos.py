@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import re
 import subprocess
+import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -76,6 +78,21 @@ def metadata(at: Target, fetch: Callable[[str, float], dict], seconds: float = 1
         return {}
 
 
+def fetched(url: str, seconds: float) -> dict:
+    """A JSON object from an address."""
+    with urllib.request.urlopen(url, timeout=seconds) as answer:  # noqa: S310  the address is made above
+        return json.load(answer)
+
+
+def created(at: Target, fetch: Callable[[str, float], dict] = fetched) -> dt.datetime | None:
+    """When the host says that a repository was made; None for a folder, or if it doesn't say."""
+    told = metadata(at, fetch).get("repo_created_at") if "://" in at.url else None
+    try:
+        return dt.datetime.fromisoformat(told) if told else None
+    except (TypeError, ValueError):
+        return None
+
+
 def tree(spark: SparkSession, repo_id: str, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Files under a folder: repo_id, path (from the folder), length, content (null above max_bytes); the filter on length is pushed to the scan."""
     base = root if "://" in root else f"file:{root}"
