@@ -167,13 +167,12 @@ def of_folders(spark: SparkSession, roots: dict[str, str], candidates: dict[str,
     """Inputs from folders with their git histories: repo_id to folder, and slug to folder of the candidates, all compared with all; created has dates that are known."""
     known = created or {}
     about = spark.createDataFrame([(k, r, *repos.named(k), known.get(k)) for k, r in roots.items()], "repo_id string, repo_url string, owner string, repo_name string, created_at timestamp")
-    contents = reduce(DataFrame.unionByName, [repos.tree(spark, k, r) for k, r in roots.items()])
+    contents = repos.trees(spark, roots)
     given = Inputs(about, contents, repos.commits(spark, roots), registry=registry)
     if not candidates:
         return given
     others = spark.createDataFrame([(k, k, repos.named(k)[0], known.get(k)) for k in candidates], "repo_id string, slug string, owner string, created_at timestamp")
-    read = reduce(DataFrame.unionByName, [repos.tree(spark, k, r) for k, r in candidates.items()])
-    files = candidate_files(read, others, repos.commits(spark, candidates))
+    files = candidate_files(repos.trees(spark, candidates), others, repos.commits(spark, candidates))
     pairs = spark.createDataFrame([(a, b) for a in roots for b in candidates], "repo_id string, slug string")
     return replace(given, candidates=files, pairs=pairs)
 

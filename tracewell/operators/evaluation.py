@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,10 +16,17 @@ def _if(c: Column) -> Column:
     return F.count(F.when(c, 1))
 
 
+def _matrix() -> list[Column]:
+    flagged, fake = F.col("verdict") == "flagged", ~F.col("authentic")
+    return [_if(flagged & fake).alias("tp"), _if(flagged & ~fake).alias("fp"), _if(~flagged & ~fake).alias("tn"), _if(~flagged & fake).alias("fn")]
+
+
 def confusion(outcomes: DataFrame, *keys: str) -> DataFrame:
     """outcomes (authentic, verdict): tp, fp, tn, fn and their rates; positive is flagged."""
-    flagged, fake = F.col("verdict") == "flagged", ~F.col("authentic")
-    c = outcomes.groupBy(*keys).agg(_if(flagged & fake).alias("tp"), _if(flagged & ~fake).alias("fp"), _if(~flagged & ~fake).alias("tn"), _if(~flagged & fake).alias("fn"))
+    return _rated(outcomes.groupBy(*keys).agg(*_matrix()))
+
+
+def _rated(c: DataFrame) -> DataFrame:
     tp, fp, tn, fn = (F.col(x).cast("double") for x in ("tp", "fp", "tn", "fn"))
     precision, recall = safe_div(tp, tp + fp), safe_div(tp, tp + fn)
     f1 = safe_div(2 * precision * recall, precision + recall)
@@ -25,6 +34,16 @@ def confusion(outcomes: DataFrame, *keys: str) -> DataFrame:
     return c.withColumns({k: round4(v) for k, v in rates.items()})
 
 
+def breakdown(outcomes: DataFrame, *keys: str) -> DataFrame:
+    """confusion() with queued and insufficient cases for every set of keys at once, in one pass: a key that a row doesn't go by is null.
+
+    level is the grouping id: 0 by all keys, and all ones for the total; it tells a null of the data from a key left out.
+    """
+    sets = [[F.col(k) for k in some] for n in range(len(keys), -1, -1) for some in combinations(keys, n)]
+    queued = [_if(F.col("verdict") == v).alias(n) for v, n in (("needs_human_review", "review_queue"), ("insufficient_signal", "insufficient"))]
+    return _rated(outcomes.groupingSets(sets, *keys).agg(F.grouping_id(*keys).cast("long").alias("level"), *_matrix(), *queued))
+
+
 def triage(outcomes: DataFrame, *keys: str) -> DataFrame:
     """Counts of resolved, queued and insufficient cases, the share of fakes flagged or queued, and reviewer minutes saved."""
     v = F.col("verdict")

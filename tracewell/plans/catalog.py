@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -245,6 +245,25 @@ def clone_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clone.clone_scores(_matches(spark, sf_dir))
 
 
+# dates: a source's longest text, and a tenth of that of a third of the candidates, and equal ones
+_DATED = f"""{_BEST}, {_FILES}, tot AS (SELECT repo_id, sum(loc)::BIGINT AS total_loc FROM files GROUP BY 1),
+w AS (SELECT repo_id, slug, sum(floor(logic * 10000 + 0.5)::BIGINT * loc)::BIGINT AS w, sum(CASE WHEN logic >= 0.7 THEN loc ELSE 0 END)::BIGINT AS s FROM bf GROUP BY 1, 2),
+dt AS (SELECT source AS repo_id, max(n_chars) AS dated FROM documents GROUP BY 1),
+dw AS (SELECT *, dated + (substr(slug, 6)::INT % 3 - 1) * 60 AS other FROM w JOIN tot USING (repo_id) JOIN dt USING (repo_id))"""
+
+
+@_query(f"""{_DATED} SELECT repo_id, slug, CASE WHEN other < dated THEN 'target_likely_copied' WHEN other > dated THEN 'candidate_likely_copied' ELSE 'unclear_direction' END AS direction_confidence,
+CASE WHEN total_loc = 0 THEN 0 ELSE {_R4.format("least(1.0, (0.7 * (w / 10000.0::DOUBLE / total_loc) + 0.3 * (s / total_loc)) * CASE WHEN other < dated THEN 1.0 WHEN other > dated THEN 0.35 ELSE 0.85 END::DOUBLE)")} END AS score FROM dw""")
+def directed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores with dates of which all three directions follow."""
+    best = staged(_best(spark, sf_dir), "best")
+    totals = _files(spark, sf_dir).groupBy("repo_id").agg(F.sum("loc").alias("total_loc"))
+    at = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("repo_id")).agg(F.timestamp_seconds(F.max("n_chars")).alias("target_at"))
+    dates = best.select("repo_id", "slug").distinct().join(at, "repo_id")
+    dates = dates.withColumn("candidate_at", F.timestamp_seconds(F.unix_seconds("target_at") + (F.substring("slug", 6, 9).cast("int") % 3 - 1) * 60))
+    return clone.match_scores(best, totals, dates).select("repo_id", "slug", "direction_confidence", "score")
+
+
 _FIRST = "f AS (SELECT user_id, min(ts) AS t FROM events GROUP BY 1)"
 
 
@@ -456,10 +475,10 @@ def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OUT = "o AS (SELECT quality = 1 AS authentic, CASE WHEN toxic = 1 THEN 'flagged' WHEN doc_id % 7 = 0 THEN 'needs_human_review' WHEN doc_id % 11 = 0 THEN 'insufficient_signal' ELSE 'clean' END AS verdict, CASE WHEN doc_id % 3 = 0 THEN 'tuning' ELSE 'heldout' END AS split FROM labels)"
 
 
-def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _outcomes(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     i = F.col("doc_id")
     verdict = F.when(F.col("toxic") == 1, "flagged").when(i % 7 == 0, "needs_human_review").when(i % 11 == 0, "insufficient_signal").otherwise("clean")
-    return table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("authentic"), verdict.alias("verdict"), F.when(i % 3 == 0, "tuning").otherwise("heldout").alias("split"))
+    return table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("authentic"), verdict.alias("verdict"), F.when(i % 3 == 0, "tuning").otherwise("heldout").alias("split"), *more)
 
 
 _DIV = "CASE WHEN {b} = 0 THEN 0 ELSE {a} / {b} END"
@@ -473,6 +492,14 @@ def confusion_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.confusion(_outcomes(spark, sf_dir), "split")
 
 
+@_query(f"""WITH {_OUT.replace("FROM labels", ", 'k' || doc_id % 4 AS category FROM labels")}, c AS (SELECT split, category, grouping(split, category) AS level, count(*) FILTER (verdict = 'flagged' AND NOT authentic) AS tp, count(*) FILTER (verdict = 'flagged' AND authentic) AS fp, count(*) FILTER (verdict <> 'flagged' AND authentic) AS tn, count(*) FILTER (verdict <> 'flagged' AND NOT authentic) AS fn,
+count(*) FILTER (verdict = 'needs_human_review') AS review_queue, count(*) FILTER (verdict = 'insufficient_signal') AS insufficient FROM o GROUP BY GROUPING SETS ((split, category), (split), (category), ())),
+r AS (SELECT *, {_PREC} AS p, {_REC} AS r FROM c)
+SELECT split, category, level, tp, fp, tn, fn, review_queue, insufficient, {_R4.format("p")} AS precision, {_R4.format("r")} AS recall, {_R4.format("CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END")} AS f1, {_R4.format(_DIV.format(a="fp", b="(fp + tn)"))} AS false_positive_rate, {_R4.format(_DIV.format(a="(tp + tn)", b="(tp + fp + tn + fn)"))} AS accuracy FROM r""")
+def outcome_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.breakdown(_outcomes(spark, sf_dir, F.concat(F.lit("k"), F.col("doc_id") % 4).alias("category")), "split", "category")
+
+
 @_query(f"""WITH {_OUT}, t AS (SELECT count(*) AS total, count(*) FILTER (verdict IN ('flagged','clean')) AS auto_resolved, count(*) FILTER (verdict = 'needs_human_review') AS review_queue, count(*) FILTER (verdict = 'insufficient_signal') AS insufficient, count(*) FILTER (NOT authentic) AS fakes, count(*) FILTER (NOT authentic AND verdict IN ('flagged','needs_human_review')) AS detected FROM o)
 SELECT *, {_R4.format(_DIV.format(a="auto_resolved", b="total"))} AS auto_resolved_pct, {_R4.format(_DIV.format(a="review_queue", b="total"))} AS review_queue_pct, {_R4.format(_DIV.format(a="insufficient", b="total"))} AS insufficient_pct, {_R4.format(_DIV.format(a="detected", b="fakes"))} AS detection_rate,
 total * 12 AS baseline_minutes, (total - review_queue) + review_queue * 4 AS tool_minutes, total * 12 - ((total - review_queue) + review_queue * 4) AS saved_minutes, {_R4.format(_DIV.format(a="(total * 12 - ((total - review_queue) + review_queue * 4))", b="(total * 12)"))} AS saved_pct FROM t""")

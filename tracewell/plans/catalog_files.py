@@ -230,3 +230,25 @@ def matched_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {catalog._WINDOWS} SELECT repo_id, citation, row_number() OVER (PARTITION BY repo_id ORDER BY path, start_line) AS place FROM ch")
 def chunk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.numbered(catalog._chunks(spark, sf_dir)).select("repo_id", "citation", F.col("place").cast("long").alias("place"))
+
+
+# a program of each document: an import, a literal of its length, up to four functions (every second one decorated, each third document's
+# with one inside), a class, and for every thirteenth document a line that can't be read
+_PROGRAM = """p AS (SELECT doc_id, doc_id % 5 AS n, n_chars % 2 AS c, doc_id % 13 = 0 AS bad, doc_id % 3 = 0 AS deep FROM documents)"""
+
+
+@_query(f"""WITH {_PROGRAM} SELECT doc_id, 'import' AS kind, 3::BIGINT AS n, 'os' AS first FROM p WHERE NOT bad
+UNION ALL SELECT doc_id, 'chunk', 1 + n + c, '<module>' FROM p WHERE NOT bad
+UNION ALL SELECT doc_id, 'token', CASE WHEN bad THEN 2 ELSE 9 + n * 8 + (n // 2) * 2 + CASE WHEN deep THEN n * 6 ELSE 0 END + c * 4 END, CASE WHEN bad THEN 'def' ELSE 'import' END FROM p""")
+def python_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many chunks, imports and tokens each program has, and the first of each: one parse a program, by a lateral table function."""
+    pycode.register(spark)
+    programs = table(spark, sf_dir, "documents").selectExpr(
+        "doc_id",
+        """if(doc_id % 13 = 0, 'def (', concat('import os\nfrom m import x\nX = ', n_chars, '\n', array_join(transform(sequence(0, 4), i -> if(i < doc_id % 5,
+        concat(if(i % 2 = 1, '@d\n', ''), 'def f', i, '(a):\n', if(doc_id % 3 = 0, '    def g():\n        return\n', ''), '    return a\n'), '')), ''),
+        if(n_chars % 2 = 1, 'class C: pass\n', ''))) as text""",
+    )
+    programs.createOrReplaceTempView("tracewell_programs")
+    rows = spark.sql("select doc_id, t.* from tracewell_programs, lateral python_facts(text, 'chunk,import,token') t")
+    return rows.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.min_by("value", "place").alias("first"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
 import re
 import subprocess
 import urllib.request
@@ -13,7 +14,21 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
+    StringEndsWith,
+    StringStartsWith,
+)
 
 from ..functions.paths import _REPO, MAX_BYTES, repo_parts, slug
 
@@ -104,6 +119,78 @@ def tree(spark: SparkSession, repo_id: str, root: str, max_bytes: int = MAX_BYTE
     return small.unionByName(large).select(F.lit(repo_id).alias("repo_id"), "path", "length", "content")
 
 
+class RepoFiles(DataSource):
+    """spark.read.format("repo_files").option("roots", JSON of {id: folder}): files of any number of repositories in one scan.
+
+    repo_id, path (from its folder), length, content (null above the option max_bytes, and then never read); .git is left out. A
+    partition is a range of REPOS repositories, so folders must be where all executors see them. Filters on repo_id, path and length are
+    pushed: a repository that isn't asked for isn't walked, a file that isn't asked for isn't opened.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "repo_files"
+
+    def schema(self) -> str:
+        return "repo_id string, path string, length long, content binary"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _FilesReader(json.loads(self.options["roots"]), int(self.options.get("max_bytes", MAX_BYTES)))
+
+
+#: Repositories of a partition.
+REPOS = 16
+_TESTS = {
+    EqualTo: lambda x, f: x == f.value, In: lambda x, f: x in f.value, LessThan: lambda x, f: x < f.value, LessThanOrEqual: lambda x, f: x <= f.value, GreaterThan: lambda x, f: x > f.value,
+    GreaterThanOrEqual: lambda x, f: x >= f.value, StringStartsWith: lambda x, f: x.startswith(f.value), StringEndsWith: lambda x, f: x.endswith(f.value), IsNotNull: lambda x, f: True,
+}
+
+
+class _FilesReader(DataSourceReader):
+    def __init__(self, roots: dict[str, str], max_bytes: int):
+        self.roots, self.max_bytes, self.asked = roots, max_bytes, []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if type(f) in _TESTS and f.attribute in (("repo_id",), ("path",), ("length",)):
+                self.asked.append(f)
+            else:
+                yield f
+
+    def _fits(self, column: str, x: object) -> bool:
+        return all(_TESTS[type(f)](x, f) for f in self.asked if f.attribute == (column,))
+
+    def partitions(self) -> list[InputPartition]:
+        some = sorted(kv for kv in self.roots.items() if self._fits("repo_id", kv[0]))
+        return [InputPartition(some[i : i + REPOS]) for i in range(0, len(some), REPOS)] or [InputPartition([])]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for repo_id, root in partition.value:
+            for folder, inner, names in os.walk(root):
+                inner[:] = sorted(d for d in inner if d != ".git")
+                for name in sorted(names):
+                    full = os.path.join(folder, name)
+                    path = os.path.relpath(full, root).replace(os.sep, "/")
+                    if not self._fits("path", path) or os.path.islink(full) or not os.path.isfile(full):
+                        continue
+                    length = os.path.getsize(full)
+                    if self._fits("length", length):
+                        yield repo_id, path, length, Path(full).read_bytes() if length <= self.max_bytes else None
+
+
+def trees(spark: SparkSession, roots: dict[str, str], max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Files of many repositories: folders in one scan, addresses of other file systems one by one."""
+    spark.dataSource.register(RepoFiles)
+    if spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") == "false":
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    near = {k: v for k, v in roots.items() if "://" not in v}
+    out = spark.read.format("repo_files").option("roots", json.dumps(near)).option("max_bytes", max_bytes).load()
+    for k, v in roots.items():
+        if k not in near:
+            out = out.unionByName(tree(spark, k, v, max_bytes))
+    return out
+
+
 _COMMITS = "repo_id string, sha string, ts timestamp, local timestamp_ntz, message string, author_email string, additions int, deletions int, files_changed int"
 
 
