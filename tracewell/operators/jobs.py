@@ -50,3 +50,9 @@ def listing(jobs: DataFrame, limit: int = 50, status: str | None = None) -> Data
 
 def by_id(jobs: DataFrame, id_: str) -> DataFrame:
     return jobs.where(F.col("id") == id_)
+
+
+def record(states: DataFrame, path: str) -> None:
+    """Add states of any number of jobs at once: rows as LOG has them, written by the tasks that have them."""
+    init(states.sparkSession, path)
+    states.select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in LOG.split(", ")]).write.mode("append").parquet(path)

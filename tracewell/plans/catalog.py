@@ -539,4 +539,4 @@ def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.contributions(_scored(spark, sf_dir)).select("repo_id", "signal", round4(F.col("value")).alias("value"), round4(F.col("contribution")).alias("contribution"))
 
 
-from . import catalog_files  # noqa: E402,F401  its queries register themselves
+from . import catalog_files, catalog_results  # noqa: E402,F401  their queries register themselves

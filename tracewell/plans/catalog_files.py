@@ -239,9 +239,10 @@ _PROGRAM = """p AS (SELECT doc_id, doc_id % 5 AS n, n_chars % 2 AS c, doc_id % 1
 
 @_query(f"""WITH {_PROGRAM} SELECT doc_id, 'import' AS kind, 3::BIGINT AS n, 'os' AS first FROM p WHERE NOT bad
 UNION ALL SELECT doc_id, 'chunk', 1 + n + c, '<module>' FROM p WHERE NOT bad
+UNION ALL SELECT doc_id, 'shape', 9 + n * 6 + (n // 2) * 2 + CASE WHEN deep THEN n * 3 ELSE 0 END + c * 2, 'Module' FROM p WHERE NOT bad
 UNION ALL SELECT doc_id, 'token', CASE WHEN bad THEN 2 ELSE 9 + n * 8 + (n // 2) * 2 + CASE WHEN deep THEN n * 6 ELSE 0 END + c * 4 END, CASE WHEN bad THEN 'def' ELSE 'import' END FROM p""")
 def python_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many chunks, imports and tokens each program has, and the first of each: one parse a program, by a lateral table function."""
+    """How many chunks, imports, tokens and nodes each program has, and the first of each: one parse a program, by a lateral table function."""
     pycode.register(spark)
     programs = table(spark, sf_dir, "documents").selectExpr(
         "doc_id",
@@ -250,5 +251,5 @@ def python_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         if(n_chars % 2 = 1, 'class C: pass\n', ''))) as text""",
     )
     programs.createOrReplaceTempView("tracewell_programs")
-    rows = spark.sql("select doc_id, t.* from tracewell_programs, lateral python_facts(text, 'chunk,import,token') t")
+    rows = spark.sql("select doc_id, t.* from tracewell_programs, lateral python_facts(text, 'chunk,import,token,shape') t")
     return rows.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.min_by("value", "place").alias("first"))

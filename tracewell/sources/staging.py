@@ -28,11 +28,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df below the shared folder and read it back. What is left goes when the driver's process ends, or by clear()."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tracewell/{name}-{uuid.uuid4().hex}"
+    keep(spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def keep(spark: SparkSession, path: str) -> None:
+    """Remember a folder, so that it goes with the others."""
     if not _LEFT:
         atexit.register(_end, spark)
     _LEFT.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession, since: int = 0) -> None:
