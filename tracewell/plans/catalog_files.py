@@ -212,7 +212,7 @@ def evidence_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINES_SQL = "string_split(regexp_replace(text, '\\n$', ''), chr(10))"
 
 
-@_query(f"""WITH l AS (SELECT source AS repo_id, doc_id, {_LINES_SQL} AS ls FROM documents WHERE doc_id % 2 = 0), r AS (SELECT doc_id, {_LINES_SQL} AS ls FROM documents WHERE doc_id % 2 = 1),
+@_query(f"""WITH l AS (SELECT source AS repo_id, doc_id, ({_LINES_SQL})[1:2000] AS ls FROM documents WHERE doc_id % 2 = 0), r AS (SELECT doc_id, ({_LINES_SQL})[1:2000] AS ls FROM documents WHERE doc_id % 2 = 1),
 lp AS (SELECT doc_id AS a, unnest(ls) AS w, generate_subscripts(ls, 1) AS i FROM l), rp AS (SELECT doc_id AS b, unnest(ls) AS w, generate_subscripts(ls, 1) AS j FROM r),
 m AS (SELECT a, b, i, j, i - row_number() OVER (PARTITION BY a, b, i - j ORDER BY i) AS g FROM lp JOIN rp ON rp.w = lp.w AND b = a + 1),
 k AS (SELECT a, b, count(*) AS n, min(i) AS i, min(j) AS j FROM m GROUP BY a, b, i - j, g)
