@@ -75,37 +75,48 @@ def _least_of_windows(x: np.ndarray, w: int) -> np.ndarray:
     return np.unique(low)
 
 
+def _shared(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Grams (g, f) that both sides have, and how often. The side of fewer lists is counted first, so that the other's grams only go on if they are there."""
+    few, many = sorted((left, right), key=lambda df: df.count())
+    each = [df.select(F.explode(_hashes(LOGIC_GRAM)).alias("g")) for df in (few, many)]
+    known = staged(each[0].groupBy("g").agg(F.count("*").alias("n")), "grams")
+    return staged(each[1].join(known, "g").groupBy("g").agg((F.count("*") + F.max("n")).alias("f")), "shared-grams")
+
+
 def _keys(lists: DataFrame, often: DataFrame, least: float, most: int, name: str) -> DataFrame:
     """What each list is found by: rows (how, u, n, l, place, g).
 
     how p: a gram of the set's prefix, at its place in the order, n the size of the set; s: a gram that is the rarest of a window,
-    l the tokens that count for runs; a: any gram of those.
+    l the tokens that count for runs; a: any gram of those. Grams that the other side lacks come first in the order: they take places
+    of a prefix, and no window with one is in a common run, but nobody is found by them, so they go no further than the join here.
     """
-    grams = lists.select("u", F.size("tokens").alias("l"), F.posexplode(_hashes(LOGIC_GRAM)).alias("at", "g"))
-    told = grams.join(often, "g").groupBy("u", "l").agg(F.collect_list(F.struct("at", "f", "g")).alias("x"))
+    hashes = lists.select("u", F.size("tokens").alias("l"), _hashes(LOGIC_GRAM).alias("h"))
+    grams = hashes.select("u", "l", F.size(F.array_distinct("h")).alias("n"), F.posexplode("h").alias("at", "g"))
+    told = grams.join(often, "g").groupBy("u", "l", "n").agg(F.collect_list(F.struct("at", "f", "g")).alias("x"))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            us, ls = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ends, values = np.asarray(batch.column(2).offsets), batch.column(2).values
+            us, ls, ns = (batch.column(k).to_pylist() for k in range(3))
+            ends, values = np.asarray(batch.column(3).offsets), batch.column(3).values
             at, f, g = (np.asarray(values.field(k)) for k in range(3))
             out: list[tuple] = []
-            for i, (u, l) in enumerate(zip(us, ls, strict=True)):  # noqa: E741
+            for i, (u, l, n) in enumerate(zip(us, ls, ns, strict=True)):  # noqa: E741
                 s = slice(ends[i], ends[i + 1])
-                in_order = np.argsort(at[s])
-                freq, gram = f[s][in_order], g[s][in_order]
-                order = np.lexsort((gram, freq))
-                first = np.r_[True, np.diff(gram[order]) != 0]
-                rank = np.empty(len(gram), np.int64)
-                rank[order] = np.cumsum(first) - 1
-                rarest = gram[order][first]
-                n, run = len(rarest), min(l, most)
-                prefix = n - int(np.ceil(least * n - 1e-9)) + 1
-                out.append(("p", u, n, run, np.arange(min(prefix, n)), rarest[:prefix]))
+                order = np.lexsort((g[s], f[s]))
+                first = np.r_[True, np.diff(g[s][order]) != 0]
+                rarest, run = g[s][order][first], min(l, most)
+                alone = n - len(rarest)
+                prefix = n - int(np.ceil(least * n - 1e-9)) + 1 - alone
+                if prefix > 0:
+                    some = np.arange(min(prefix, len(rarest)))
+                    out.append(("p", u, n, run, alone + some, rarest[some]))
                 if run >= LOGIC_GRAM:
+                    rank = np.full(l, -1, np.int64)
+                    rank[at[s][order]] = np.cumsum(first) - 1
                     seen = rank[: run - LOGIC_GRAM + 1]
                     w = max(1, int(np.ceil(least * run - 1e-9)) - LOGIC_GRAM + 1)
                     for how, some in (("s", _least_of_windows(seen, w)), ("a", np.unique(seen))):
+                        some = some[some >= 0]
                         out.append((how, u, n, run, some, rarest[some]))
             size = [len(x[5]) for x in out]
             cat = lambda k: np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64)
@@ -134,8 +145,7 @@ def _short_runs(few: DataFrame, many: DataFrame, least: float, most: int) -> Dat
 def candidates(left: DataFrame, right: DataFrame, least: float, most: int = MAX_TOKENS) -> DataFrame:
     """Distinct pairs (x, y) of u of lists that may reach `least`; none that does is left out."""
     t = least - SLACK
-    grams = [df.select(F.explode(_hashes(LOGIC_GRAM)).alias("g")) for df in (left, right)]
-    often = staged(grams[0].unionByName(grams[1]).groupBy("g").agg(F.count("*").alias("f")), "often")
+    often = _shared(left, right)
     l, r = (_keys(df, often, t, most, f"keys-{k}") for df, k in ((left, "left"), (right, "right")))  # noqa: E741
     side = lambda df, how, by: df.where(F.col("how") == how).select("g", *[F.col(c).alias(f"{c}_{by}") for c in ("u", "n", "l", "place")])
     need = (F.col("n_x") + F.col("n_y")) * (t / (1 + t)) - 1e-9
