@@ -47,16 +47,20 @@ class Similar:
 
 
 def _classes(side: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Different lists (u, id, tokens, shape, kind), the least id for all equal ones, and (id, stands). Null or empty lists go."""
-    shape = F.col("shape") if "shape" in side.columns else F.col("tokens")
-    kind = F.col("kind").cast("string") if "kind" in side.columns else F.lit("")
-    rows = side.select("id", "tokens", shape.alias("shape"), kind.alias("kind")).where(F.size("tokens") > 0)
-    digest = F.sha2(F.to_json(F.struct("tokens", "shape", "kind")), 256)
-    keyed = rows.select("id", digest.alias("d"))
-    least = keyed.groupBy("d").agg(F.min("id").alias("stands"))
-    members = staged(keyed.join(least, "d").select("id", "stands"), f"{name}-members")
+    """Different lists (u, id, tokens, shape, kind, and h, the hashes of their grams), the least id for all equal ones, and (id, stands).
+
+    Null or empty lists go. Tokens are made once, and so are hashes; members are told by a digest.
+    """
+    has, kind = "shape" in side.columns, F.col("kind").cast("string") if "kind" in side.columns else F.lit("")
+    rows = side.select("id", "tokens", *([F.col("shape")] if has else []), kind.alias("kind")).where(F.size("tokens") > 0)
+    told = F.to_json(F.struct("kind", "tokens", *(["shape"] if has else [])))
+    rows = staged(rows.withColumn("d", F.sha2(told, 256)), f"{name}-rows")
+    keyed = rows.select("id", "d")
+    members = staged(keyed.join(keyed.groupBy("d").agg(F.min("id").alias("stands")), "d").select("id", "stands"), f"{name}-members")
     firsts = members.where(F.col("id") == F.col("stands")).select("id").distinct()
-    return staged(rows.join(firsts, "id").withColumn("u", F.monotonically_increasing_id()), f"{name}-lists"), members
+    lists = rows.drop("d").join(firsts, "id").withColumns({"u": F.monotonically_increasing_id(), "h": _hashes(LOGIC_GRAM)})
+    lists = staged(lists, f"{name}-lists")
+    return lists if has else lists.withColumn("shape", F.col("tokens")), members
 
 
 def _hashes(n: Column | int) -> Column:
@@ -78,7 +82,7 @@ def _least_of_windows(x: np.ndarray, w: int) -> np.ndarray:
 def _shared(left: DataFrame, right: DataFrame) -> DataFrame:
     """Grams (g, f) that both sides have, and how often. The side of fewer lists is counted first, so that the other's grams only go on if they are there."""
     few, many = sorted((left, right), key=lambda df: df.count())
-    each = [df.select(F.explode(_hashes(LOGIC_GRAM)).alias("g")) for df in (few, many)]
+    each = [df.select(F.explode("h").alias("g")) for df in (few, many)]
     known = staged(each[0].groupBy("g").agg(F.count("*").alias("n")), "grams")
     return staged(each[1].join(known, "g").groupBy("g").agg((F.count("*") + F.max("n")).alias("f")), "shared-grams")
 
@@ -90,8 +94,7 @@ def _keys(lists: DataFrame, often: DataFrame, least: float, most: int, name: str
     l the tokens that count for runs; a: any gram of those. Grams that the other side lacks come first in the order: they take places
     of a prefix, and no window with one is in a common run, but nobody is found by them, so they go no further than the join here.
     """
-    hashes = lists.select("u", F.size("tokens").alias("l"), _hashes(LOGIC_GRAM).alias("h"))
-    grams = hashes.select("u", "l", F.size(F.array_distinct("h")).alias("n"), F.posexplode("h").alias("at", "g"))
+    grams = lists.select("u", F.size("tokens").alias("l"), F.size(F.array_distinct("h")).alias("n"), F.posexplode("h").alias("at", "g"))
     told = grams.join(often, "g").groupBy("u", "l", "n").agg(F.collect_list(F.struct("at", "f", "g")).alias("x"))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,6 +148,7 @@ def _short_runs(few: DataFrame, many: DataFrame, least: float, most: int) -> Dat
 def candidates(left: DataFrame, right: DataFrame, least: float, most: int = MAX_TOKENS) -> DataFrame:
     """Distinct pairs (x, y) of u of lists that may reach `least`; none that does is left out."""
     t = least - SLACK
+    left, right = (df if "h" in df.columns else df.withColumn("h", _hashes(LOGIC_GRAM)) for df in (left, right))
     often = _shared(left, right)
     l, r = (_keys(df, often, t, most, f"keys-{k}") for df, k in ((left, "left"), (right, "right")))  # noqa: E741
     side = lambda df, how, by: df.where(F.col("how") == how).select("g", *[F.col(c).alias(f"{c}_{by}") for c in ("u", "n", "l", "place")])
