@@ -16,7 +16,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.with_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer("piece_bpe_32k.model")).select("doc_id", "n_words", "n_tokens")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces, _ = token_counts.learned(docs, token_counts.Vocabulary.load(_tokenizer("piece_bpe_32k.model")))
+    return token_counts.with_counts(docs, pieces).select("doc_id", "n_words", "n_tokens")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
