@@ -21,6 +21,8 @@ HEAD_SHARE = 0.25
 EPS = 1e-6
 #: Share of a block's pairs from which it is multiplied as a whole.
 DENSE = 0.02
+#: Vectors that the rotation is fitted on, about. It decides how much is excluded, never what is found.
+ROTATION_ROWS = 50_000
 #: Pairs of a block of queries and a band that are broadcast at most; more are joined.
 BROADCAST_ROWS = 100_000
 
@@ -33,18 +35,20 @@ def _vectors(df: DataFrame, id_: str, vector: str) -> DataFrame:
     return rows.select("id", F.transform(x, lambda v: F.floor(v * 64).cast("double")).alias("v"))
 
 
-def _gram(rows: DataFrame, dim: int) -> np.ndarray:
-    """The dim x dim matrix of second moments: one partial sum per task, added up by Spark."""
+def _gram(rows: DataFrame, dim: int, count: int) -> np.ndarray:
+    """The dim x dim matrix of second moments of about ROTATION_ROWS of the rows (those with the lowest hash of their id): an array for each of eight tasks."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dim, dim))
         for b in batches:
             x = _matrix(b.column(0), dim)
             total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim * dim)), pa.array(total.ravel())], ["i", "g"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["g"])
 
-    got = rows.select("v").mapInArrow(sums, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).toPandas().sort_values("i")
-    return got["g"].to_numpy().reshape(dim, dim) if len(got) else np.eye(dim)
+    if count > ROTATION_ROWS:
+        rows = rows.where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1 << 40)) < ROTATION_ROWS * (1 << 40) // count).repartition(8)
+    got = [np.asarray(r.g) for r in rows.select("v").coalesce(8).mapInArrow(sums, "g array<double>").collect()]  # at most eight arrays
+    return sum(got).reshape(dim, dim) if got else np.eye(dim)
 
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
@@ -105,6 +109,17 @@ def _top(scores: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tup
     return r[keep], c[keep], p[keep]
 
 
+def _classes(of_reach: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Neighbouring reaches (reach, queries) put together until a class has QUERY_BLOCK queries: each class's least reach, and its queries."""
+    out: list[tuple[int, int]] = []
+    for reach, n in of_reach:
+        if out and out[-1][1] < QUERY_BLOCK:
+            out[-1] = (out[-1][0], out[-1][1] + n)
+        else:
+            out.append((reach, n))
+    return out
+
+
 def top_products(df: DataFrame, *, id_: str = "vec_id", vector: str = "embedding", queries: int = 20, k: int = 20) -> DataFrame:
     """For each row whose id is divisible by `queries`: its k largest whole-number inner products with the other rows.
 
@@ -113,8 +128,9 @@ def top_products(df: DataFrame, *, id_: str = "vec_id", vector: str = "embedding
     followed. Repeated rows are candidates of their own, but a query's own id never is its candidate; of a query id with
     different vectors the smallest vector, component by component, asks. An empty table gives an empty one, other columns are left out. Products are exact as long as they stay under 2**53.
 
-    Candidates are dealt to blocks by descending length. The block of the longest gives each query a score that k candidates
-    reach; a query meets a further block only if its length times the block's largest can reach that.
+    Candidates are dealt to bands by descending length. The band of the longest gives each query a score that k candidates
+    reach; a query meets a further band only if its length times the band's largest can reach that. As longer bands come first,
+    it so needs the first few; queries that need equally many are dealt to blocks together, and a band goes to the blocks that need it.
     """
     spark = df.sparkSession
     out = "query_id long, rank int, vec_id long, score long"
@@ -140,8 +156,8 @@ def top_products(df: DataFrame, *, id_: str = "vec_id", vector: str = "embedding
     every = stored(rows.where(F.pmod("id", F.lit(queries)) == 0).groupBy("id").agg(F.min("v").alias("v")), "queries")
     every = every.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, v: s + v * v)))
     q_blocks = max(1, -(-every.count() // QUERY_BLOCK))
-    asked = every.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(q_blocks)).cast("int"))
-    rotation = np.linalg.eigh(_gram(rows, dim))[1][:, ::-1].copy()  # the right singular vectors, the largest first
+    asked = every.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(q_blocks)))
+    rotation = np.linalg.eigh(_gram(rows, dim, count))[1][:, ::-1].copy()  # the right singular vectors, the largest first
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         q, c = group[group["side"] == 0], group[group["side"] == 1].sort_values("x", ascending=False, kind="stable")
@@ -172,7 +188,14 @@ def top_products(df: DataFrame, *, id_: str = "vec_id", vector: str = "embedding
         low = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("low"))
         known = asked.join(low, asked["id"] == low["query_id"], "left")
         reaches = [F.when(F.col("low").isNull() | (F.col("norm") * sizes[b].longest * (1 + EPS) + EPS >= F.col("low")), F.lit(b)) for b in further]
-        known = known.withColumn("bands", F.array_compact(F.array(*reaches)))
+        known = stored(known.withColumn("bands", F.array_compact(F.array(*reaches))).withColumn("reach", F.size("bands")), "known")
+        # classes of queries that need about equally many bands, each of a block at least
+        of_reach = sorted((r.reach, r.n) for r in known.groupBy("reach").agg(F.count("*").alias("n")).collect())  # at most BANDS rows
+        classes, cls = _classes(of_reach), F.lit(0)
+        for i, (least, _) in enumerate(classes):
+            cls = F.when(F.col("reach") >= least, i).otherwise(cls)
+        n_blocks = F.element_at(F.array(*[F.lit(-(-n // QUERY_BLOCK)) for _, n in classes]), F.col("class") + 1)
+        known = known.withColumn("class", cls).withColumn("block", F.col("class") * F.lit(1 << 40) + F.pmod(F.xxhash64("id", F.lit(1)), n_blocks))
         others = met(known, cands.where(F.col("band") != best))
         first = ranked(first.select("query_id", "vec_id", "score").unionByName(others))
     return first.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
