@@ -92,3 +92,11 @@ def test_planted_runs(spark):
             changed += 1
         assert (got[str(i), n] or "").split() == w
     assert changed > 15
+
+
+def test_the_query_takes_texts_without_words_where_runs_are_planted(spark, tmp_path):
+    ids = [i for i in range(500) if zlib.crc32(str(i).encode()) % 10 == 0][:4]
+    docs = [*zip(ids, ["", " \n\t", None, "a"], strict=True)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_runs, r.start, r.runs_sha256 == r.collapsed_sha256) for r in queries.op12_word_runs(spark, str(tmp_path)).collect()}
+    assert got == {i: (0, None, t != "a") for i, t in docs}
