@@ -98,3 +98,31 @@ def test_keys_hold_enough_bits():
             filled = nd.PER_BAND * (1 - np.exp(-lower / (bands * nd.PER_BAND)))
             assert nd.mantissa(lower, bands) == nd.MOST_MANTISSA or nd.mantissa(lower, bands) * filled >= nd.KEY_BITS - 1e-6
     assert nd.mantissa(100_000, 40) == nd.LEAST_MANTISSA
+
+
+def test_sets_compared_with_a_hub_are_bounded_by_shingles(spark, monkeypatch):
+    """Long near copies, few enough for one block by number: no task gets many more shingles than BLOCK_SHINGLES."""
+    confirm = nd._confirm
+
+    def watched(numerator, denominator):
+        inner = confirm(numerator, denominator)
+
+        def compute(group):
+            held = sum(map(len, group.column("set").to_pylist()))
+            assert held <= 6_000, held
+            return inner(group)
+
+        return compute
+
+    monkeypatch.setattr(nd, "_confirm", watched)
+    monkeypatch.setattr(nd, "BLOCK_SHINGLES", 4_000)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(60):
+        w = list(base)
+        for k in r.sample(range(300), 2):
+            w[k] = f"x{i}-{k}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {x.component_id for x in nd.near_duplicates(df).collect()} == {0}

@@ -187,6 +187,13 @@ def linked(flat: np.ndarray, size: np.ndarray, side: np.ndarray, numerator: int,
         return label
     t = numerator / denominator
     start = np.r_[0, np.cumsum(size)]
+    if (side == 1).sum() == 1:
+        i = int(np.argmax(side == 1))
+        mine = np.sort(flat[start[i] : start[i + 1]])
+        inter = np.add.reduceat(mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat, start[:-1], dtype=np.int64)
+        hit = denominator * inter >= numerator * (size[i] + size - inter)
+        label[hit] = np.flatnonzero(hit)[0]
+        return label
     own = np.repeat(np.arange(n), size)
     value, place, count = np.unique(flat, return_inverse=True, return_counts=True)
     rank_of = np.empty(len(value), np.int64)
@@ -212,14 +219,13 @@ def linked(flat: np.ndarray, size: np.ndarray, side: np.ndarray, numerator: int,
         label[label == b] = a
 
     two = len(np.unique(side)) > 1
-    hub = (side == 1) & ((side == 1).sum() == 1) & two
     tried = np.zeros(n, bool)
     for _ in range(8):
         # the set that most others may still link with is compared with all at once
         many = np.bincount(o[np.repeat(open_groups(begin), np.diff(np.r_[begin, len(r)]))], minlength=n)
         many[tried] = 0
-        i = int(np.argmax(hub if hub.any() else many))
-        if not hub.any() and (many[i] == 0 or n < 16):
+        i = int(np.argmax(many))
+        if many[i] == 0 or n < 16:
             break
         tried[i] = True
         inside = np.zeros(len(value), np.int64)
@@ -229,8 +235,6 @@ def linked(flat: np.ndarray, size: np.ndarray, side: np.ndarray, numerator: int,
             hit &= side != side[i]
         for j in np.unique(label[hit]).tolist():
             join(i, j)
-        if hub.any():
-            return label
     keep = open_groups(begin)
     regs = [registers(flat[a:b].view(np.uint64), SKETCH_BANDS) if b - a >= ESTIMATE_FROM else None for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)] if keep.any() else []
     ends = np.r_[begin[1:], len(r)]
@@ -410,7 +414,7 @@ def _links(cand: DataFrame, numerator: int, denominator: int) -> DataFrame:
         met = stored(_met(prefix, n), "met", n)
         sized = stored(met.groupBy("node", "cluster", "family").agg(F.count("*").alias("shared")).join(cand.select("node", "n").distinct(), "node"), "families", n)
         total = sized.groupBy("family").agg(F.sum("n").alias("all_n"), F.count("*").alias("docs"))
-        large = stored(total.where((F.col("all_n") > BLOCK_SHINGLES) | (F.col("docs") > BLOCK_DOCS)).select("family", "docs"), "large", 0)
+        large = stored(total.where((F.col("all_n") > BLOCK_SHINGLES) | (F.col("docs") > BLOCK_DOCS)).select("family", "all_n", "docs"), "large", 0)
         small = sized.join(large, "family", "left_anti").select("node", F.col("family"), F.lit("").alias("block"), F.lit(0).alias("side"))
         if is_empty(large):
             found.append(checked(small))
@@ -421,10 +425,7 @@ def _links(cand: DataFrame, numerator: int, denominator: int) -> DataFrame:
             found.append(stored(checked(stored(_blocks(rest, numerator, denominator), "blocks")), "links"))
             break
         hubs = rest.groupBy("family").agg(F.max(F.struct("shared", -F.col("node"))).alias("h")).select("family", (-F.col("h.col2")).alias("hub"))
-        salts = F.ceil(F.col("docs") / STAR_DOCS).cast("int")
-        spokes = rest.join(hubs, "family").where("node <> hub").select("node", "family", F.pmod(F.xxhash64("node"), salts).cast("string").alias("block"), F.lit(0).alias("side"))
-        centres = hubs.join(large, "family").select(F.col("hub").alias("node"), "family", F.explode(F.sequence(F.lit(0), salts - 1)).cast("string").alias("block"), F.lit(1).alias("side"))
-        tied = stored(checked(spokes.unionByName(centres)), "links")
+        tied = stored(checked(_spokes(rest, hubs)), "links")
         found.append(tied)
         # whoever links with the hub takes its cluster along
         name = components(tied.unionByName(rest.where("node <> cluster").select(F.col("node").alias("u"), F.col("cluster").alias("v"))))
@@ -437,6 +438,14 @@ def _links(cand: DataFrame, numerator: int, denominator: int) -> DataFrame:
     return components(out)
 
 
+def _spokes(rest: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Deal the sets of large families to blocks, each with the family's hub on side 1: by number and by shingles, as sets may be long."""
+    salts = F.greatest(F.ceil(F.col("docs") / STAR_DOCS), F.ceil(2 * F.col("all_n") / BLOCK_SHINGLES)).cast("int")
+    spokes = rest.join(hubs, "family").where("node <> hub").select("node", "family", F.pmod(F.xxhash64("node"), salts).cast("string").alias("block"), F.lit(0).alias("side"))
+    used = rest.join(hubs, "family").where("node <> hub").select(F.col("hub").alias("node"), "family", F.pmod(F.xxhash64("node"), salts).cast("string").alias("block"))
+    return spokes.unionByName(used.distinct().withColumn("side", F.lit(1)))
+
+
 def _blocks(hot: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """Deal large families to pairs of blocks, ordered by size, whose sizes can link.
 
