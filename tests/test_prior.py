@@ -77,3 +77,16 @@ def test_merged_minima(spark, monkeypatch):
             old = want.get(k, [])
             want[k] = [min(v) for v in zip(old, s, strict=False)] + (old[len(s) :] or s[len(old) :])
     assert got == want
+
+
+def test_values_of_one_signature_alone_go_no_further(spark, monkeypatch):
+    from tracewell.operators import minhash
+
+    kept = {}
+    whole = minhash.staged
+    monkeypatch.setattr(minhash, "staged", lambda df, name: kept.setdefault(name, whole(df, name)))
+    rows = [(i, f"o{i}", i, [i * 100 + k for k in range(4)]) for i in range(5)] + [(9, "o9", 9, [0, 1, 2, 999])]
+    targets = spark.createDataFrame(rows, "slug long, owner string, at long, signature array<long>")
+    got = minhash.prior(targets, least=0.5).collect()
+    assert [(r.slug, r.other, r.jaccard) for r in got] == [(9, 0, 0.75)]
+    assert kept["positions"].count() == 3 and kept["rare-positions"].count() == 4
