@@ -102,3 +102,16 @@ def test_learning_raises_the_likelihood_and_equals_the_library(spark):
     assert tc.learned(docs.limit(0), start) == (start, [])
     few, _ = tc.learned(docs, start, rows=20)
     assert few != start and few != v
+
+
+def test_learns_from_every_document(spark):
+    """More documents than any bound that was; the pieces of one word that few of them have count as well."""
+    rows = [(i, "the station" if i % 50 else f"the ablative{i % 7}") for i in range(2_400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    start = tc.Vocabulary.load(NAME)
+    words: dict[str, int] = {}
+    for _, t in rows:
+        for w in t.split():
+            words[tc.MARK + w] = words.get(tc.MARK + w, 0) + 1
+    found, _ = tc.expected(spark.createDataFrame(list(words.items()), "word string, n long"), start)
+    assert tc.learned(docs, start, rounds=1)[0] == tc.Vocabulary.counted(found)
