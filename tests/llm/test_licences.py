@@ -108,3 +108,36 @@ def test_names_other_spellings_and_footers(spark):
 def test_threshold_comes_from_held_out_notices():
     model = lic.learn()
     assert 1 / len(model.classes) < model.sure < 1 and model.temperature > 1  # unseen notices are less sure than copies of those learned from
+
+
+def test_nothing_is_passed_over_that_the_scores_call_a_notice(spark):
+    """Lines of any words of the model, with and without cues, against the scores of every line."""
+    model = lic.learn()
+    rng = np.random.default_rng(17)
+    known = sorted({x for g in model.weights for x in g.split()})
+    pairs = sorted(g for g in model.weights if " " in g)
+    lines = [" ".join(str(x) for x in rng.choice(known, rng.integers(1, 9))) for _ in range(300)]
+    lines += [" ".join(str(x) for x in rng.choice(pairs, rng.integers(1, 5))) for _ in range(300)]
+    lines += ["Neither the names of the owner nor the publisher", "to do so", "_MIT_LICENCE_ applies", "nothing of the kind"]
+    got = lic.with_licences(spark.createDataFrame([(i, f"\n{x}\n") for i, x in enumerate(lines)], "doc_id long, text string"), model).collect()
+    want = {i: judge(model, lic.words(x)) for i, x in enumerate(lines)}
+    missing = [i for i in want if want[i][0] != lic.PLAIN and not re.search(r"(?i)\b(?:" + "|".join(model.marks) + ")", lines[i])]
+    assert len(missing) > 20  # which a gate of marks would pass over
+    for r in got:
+        family, p, confirmed = want[r.doc_id]
+        said = [] if family == lic.PLAIN else [(1, family if p >= model.sure and confirmed else lic.OTHER, confirmed)]
+        assert [(n.line, n.family, n.confirmed) for n in r.notices] == said, lines[r.doc_id]
+
+
+def test_paragraphs_are_judged_whole(spark):
+    """Notices without a mark, of one word a line, which no line tells alone; they stand by themselves or behind other lines of their paragraph."""
+    model = lic.learn()
+    rng = np.random.default_rng(18)
+    pairs = sorted(g for g in model.weights if " " in g)
+    mark = re.compile(r"\b(?:" + "|".join(model.marks) + ")")
+    texts = ["\n".join(" ".join(str(x) for x in rng.choice(pairs, 6)).split()) for _ in range(200)]
+    texts = [t for t in texts if not mark.search(t) and all(judge(model, [w])[0] == lic.PLAIN for w in t.split())]
+    texts += ["he and she were here\n" + t for t in texts] + ["he and she were here\n" * 9 + t for t in texts]
+    got = {r.text: [n.family for n in r.notices] for r in lic.with_licences(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).collect()}
+    assert all((judge(model, lic.words(t))[0] != lic.PLAIN) == (len(got[t]) == 1) for t in texts)
+    assert sum(map(bool, got.values())) > 5
