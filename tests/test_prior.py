@@ -90,3 +90,26 @@ def test_values_of_one_signature_alone_go_no_further(spark, monkeypatch):
     got = minhash.prior(targets, least=0.5).collect()
     assert [(r.slug, r.other, r.jaccard) for r in got] == [(9, 0, 0.75)]
     assert kept["positions"].count() == 3 and kept["rare-positions"].count() == 4
+
+
+def test_signatures_move_in_packed_lists(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PART_POSTINGS", 500)
+    monkeypatch.setattr(minhash, "GROUP", 16)
+    monkeypatch.setattr(minhash, "LIST", 4)
+    r = random.Random(4)
+    rows = [(i, [7, *(r.choice([-5, r.randint(0, 30), r.randint(0, 2**40)]) for _ in range(r.choice([3, 40])))]) for i in range(80)]
+    frame = spark.createDataFrame(rows, "u long, signature array<long>").repartition(3)
+    want = {}
+    for u, sig in rows:
+        for i, v in enumerate(sig):
+            want.setdefault((len(sig), i, v), set()).add(u)
+    want = {k: us for k, us in want.items() if len(us) > 1}
+    got = {}
+    for x in minhash._shared(frame).collect():
+        assert x.c == len(want[x.n, x.i, x.v]) and len(x.us) <= 4
+        got.setdefault((x.n, x.i, x.v), []).extend(x.us)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()} and len({k[0] for k in got}) == 2
+    # a posting takes a few bytes on its way, not a row
+    plain = spark.range(2000).select(F.col("id").alias("u"), F.transform(F.sequence(F.lit(1), F.lit(128)), lambda i: F.pmod(F.xxhash64("id", i), F.lit(minhash.PRIME))).alias("signature"))
+    dealt = minhash._dealt(plain, 8)
+    assert dealt.count() < 2000 and dealt.agg(F.sum(F.length("i") + F.length("v") + F.length("at"))).first()[0] <= 2000 * 128 * 7
